@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from ._text import ALNUM, U64, combine, groups, mix, rolling, sets, span_hash, s
 
 N, THRESHOLD, SUBSET = 4, 0.5, 2
 _DF_BITS = 14
-_FLUSH = 1_500_000
+_FLUSH = 1_000_000
 _DOC = np.dtype([("id", "<i8"), ("n", "<u4"), ("check", "<u4")])
 
 
@@ -78,7 +79,7 @@ _SENT = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("refs", pa.bi
 _SENT_SQL = "bucket int, keys binary, refs binary, docs binary"
 
 
-def _batches(sent: Iterator[tuple[int, bytes, bytes, bytes]], most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def _batches(sent: Iterator[tuple[int, bytes, bytes, bytes]], most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Rows in record batches of bounded size."""
     rows, size = [], 0
     for x in sent:
@@ -263,20 +264,23 @@ def _link_keys(threshold: float, subset: int, x: int, buckets: int):
             uid, _, n, keys = (batch.column(i) for i in range(4))
             docs = np.zeros(len(batch), _DOC)
             docs["id"], docs["n"] = uid.to_numpy(), n.to_numpy()
-            names, refs = [], []
+            names, refs, held = [], [], 0
             for i, (size, blob) in enumerate(zip(n.to_pylist(), keys)):
                 s = np.frombuffer(blob.as_py(), np.uint64)
                 if size <= x:
                     p = s[: _prefix(size, len(s), threshold, subset)]
                     if len(p) >= subset:
-                        grid = np.array(np.meshgrid(*[np.arange(len(p))] * subset, indexing="ij")).reshape(subset, -1)
-                        grid = grid[:, (np.diff(grid, axis=0) > 0).all(axis=0)]
+                        grid = np.stack(np.triu_indices(len(p), 1)) if subset == 2 else np.array([*combinations(range(len(p)), subset)]).T
                         names.append(combine([p[g] for g in grid]))
-                        refs.append(np.full(grid.shape[1], i))
+                        refs.append(np.full(grid.shape[1], i, np.int32))
                 if size > x or size >= threshold * (x + 1) or size < subset * (1 + threshold) / threshold:
                     p = s[: _prefix(size, len(s), threshold, 1)]
                     names.append(mix(p.copy()))
-                    refs.append(np.full(len(p), i))
+                    refs.append(np.full(len(p), i, np.int32))
+                held = held + len(names[-1]) if names else 0
+                if held > _FLUSH // 4:
+                    yield from _batches(_send(np.concatenate(names), np.concatenate(refs), docs, buckets))
+                    names, refs, held = [], [], 0
             if names and sum(map(len, names)):
                 yield from _batches(_send(np.concatenate(names), np.concatenate(refs), docs, buckets))
 
