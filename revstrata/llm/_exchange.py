@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
+#: Bits of a key below its bucket; with those of the bucket, 44 to 56 tell keys apart, more the larger the input.
+BITS = 40
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,7 +50,7 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     return (keys >> U64(64 - (n.bit_length() - 1))).astype(np.int64)
 
 
-def pack_keys(keys: np.ndarray, n: int, bits: int = 44) -> bytes:
+def pack_keys(keys: np.ndarray, n: int, bits: int = BITS) -> bytes:
     """Sorted keys of one of n buckets, cut to `bits` bits below the bucket's: as 4-byte gaps if they fit."""
     cut = (keys << U64(n.bit_length() - 1)) >> U64(64 - bits)
     gaps = np.diff(cut, prepend=U64(0))
@@ -63,7 +65,7 @@ def unpack_keys(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob[1:], np.uint64)
 
 
-def cut_keys(keys: np.ndarray, n: int, bits: int = 44) -> np.ndarray:
+def cut_keys(keys: np.ndarray, n: int, bits: int = BITS) -> np.ndarray:
     """What unpack_keys gives for these keys."""
     return (keys << U64(n.bit_length() - 1)) >> U64(64 - bits)
 
@@ -89,9 +91,12 @@ def slices(sorted_values: np.ndarray) -> list[tuple[int, int, int]]:
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that nothing refers to any longer."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):  # a plan's objects go one after another
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -34,7 +34,8 @@ from . import _exchange as X
 from ._text import ALNUM, U64, combine, groups, mix, rolling, sets, span_hash, strings, words
 
 N, THRESHOLD, SUBSET = 4, 0.5, 2
-_DF_BITS = 14
+_NAME = U64((1 << 56) - 1)
+_SHIP = 16  # what sending a key costs, in list entries scanned
 _FLUSH = 1_000_000
 _DOC = np.dtype([("id", "<i8"), ("n", "<u4"), ("check", "<u4")])
 
@@ -157,8 +158,8 @@ def _shared(buckets: int, doc_buckets: int):
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         df = np.diff(np.append(first, len(keys)))
         keep = np.repeat(df >= 2, df)
-        name = (U64(b) << U64(44)) | keys[keep]
-        entry = (np.repeat(np.minimum(df, (1 << _DF_BITS) - 1), df)[keep].astype(np.uint64) << U64(50)) | name
+        name = (U64(b) << U64(X.BITS)) | keys[keep]
+        entry = (np.repeat((8 * np.log2(df)).astype(np.uint64), df)[keep] << U64(56)) | name  # frequency in eighths of an octave
         refs = refs[keep]
         to = X.doc_bucket(docs["id"], doc_buckets)
         rank = np.argsort(to, kind="stable")
@@ -227,8 +228,8 @@ def _prefix(n: int, size: int, threshold: float, more: int) -> int:
 def boundary(sizes: DataFrame, threshold: float, subset: int) -> int:
     """The size up to which enumerating subsets costs less than scanning lists, by sums over all sets.
 
-    sizes: a row for each n, with the number of its sets, and the sums over them of the subsets of the prefix and of the
-    entries in the inverted lists of the prefix.
+    sizes: a row for each n, with the sums over its sets of both costs: keys sent for the subsets of the prefix; keys sent for
+    the prefix, and the entries of its inverted lists. A key sent counts as many entries scanned.
     """
     rows = sorted((r["n"], r["subsets"], r["scans"]) for r in sizes.collect())
     if not rows:
@@ -247,9 +248,9 @@ def _costs(threshold: float, subset: int):
             n = batch.column(0).to_pylist()
             rows = [], [], []
             for size, keys in zip(n, batch.column(1)):
-                df = np.frombuffer(keys.as_py(), np.uint64) >> U64(50)
-                p = _prefix(size, len(df), threshold, subset)
-                for c, x in zip(rows, (size, float(math.comb(p, subset)), float(df[: _prefix(size, len(df), threshold, 1)].sum()))):
+                df = 2.0 ** ((np.frombuffer(keys.as_py(), np.uint64) >> U64(56)) / 8)
+                p, q = _prefix(size, len(df), threshold, subset), _prefix(size, len(df), threshold, 1)
+                for c, x in zip(rows, (size, float(_SHIP * math.comb(p, subset)), float(_SHIP * q + df[:q].sum()))):
                     c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.float64()), pa.array(rows[2], pa.float64())], ["n", "subsets", "scans"])
 
@@ -370,7 +371,7 @@ def _joined(threshold: float, forest: bool):
                 key = (int(n[r]), blobs[int(r)].as_py())
                 c = classes.setdefault(key, len(some))
                 if c == len(some):
-                    some.append(np.frombuffer(key[1], np.uint64) & U64((1 << 50) - 1))
+                    some.append(np.frombuffer(key[1], np.uint64) & _NAME)
                 which[k] = c
             m = len(some)
             size, probes = np.zeros(m, np.int64), np.zeros(m, bool)
