@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import bpe, mixing, ngram_join, sharding, substring_dedup, token_counts, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -29,3 +29,87 @@ p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS o FROM g a JOIN g
 SELECT doc_a, doc_b, o / (x.n + y.n - o) AS jaccard FROM p JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b
 WHERE o / (x.n + y.n - o) >= 0.5
 """
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and the text that they decode to."""
+    return bpe.decode(bpe.encoded_documents(_table(spark, sf_dir, "documents")))
+
+
+QUERIES["op2_bpe"] = op2_bpe
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies stay together; characters are balanced over the shards."""
+    return sharding.shard_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES["op3_sharding"] = op3_sharding
+SQL["op3_sharding"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, md5(coalesce(text, '')) AS key, coalesce(length(text), 0) AS size FROM documents),
+g AS (SELECT key, size, row_number() OVER (ORDER BY size DESC, key) AS rn FROM (SELECT key, CAST(sum(size) AS BIGINT) AS size FROM d GROUP BY key)),
+r AS (SELECT CAST(0 AS BIGINT) AS rn, CAST('' AS VARCHAR) AS key, CAST(NULL AS INTEGER) AS shard, [CAST(0 AS BIGINT) FOR i IN range({sharding.SHARDS})] AS loads
+      UNION ALL
+      SELECT x.rn, x.key, x.shard, list_transform(x.loads, lambda v, i: CASE WHEN i = x.shard + 1 THEN v + x.size ELSE v END)
+      FROM (SELECT g.rn, g.key, g.size, CAST(list_position(r.loads, list_min(r.loads)) - 1 AS INTEGER) AS shard, r.loads FROM r JOIN g ON g.rn = r.rn + 1) x)
+SELECT doc_id, shard FROM d JOIN r USING (key)
+"""
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every repeated passage of at least 50 words but its first occurrence."""
+    return substring_dedup.repeated_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES["op4_substring_dedup"] = op4_substring_dedup
+_WS = " \\t\\n\\x0b\\f\\r"
+SQL["op4_substring_dedup"] = f"""
+WITH p AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i, lead FROM
+           (SELECT doc_id, regexp_extract_all(text, '[^{_WS}]+[{_WS}]*') AS p, strlen(regexp_extract(text, '^[{_WS}]*')) AS lead FROM documents)),
+w AS (SELECT doc_id, i, regexp_extract(piece, '^[^{_WS}]+') AS word,
+      CAST(lead + sum(strlen(piece)) OVER (PARTITION BY doc_id ORDER BY i) - strlen(piece) AS INTEGER) AS b FROM p),
+v AS (SELECT doc_id, i, b, lead(b + strlen(word), 49) OVER d AS e, lead(i, 49) OVER d AS l,
+      md5(array_to_string(array_agg(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING), ' ')) AS k
+      FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+f AS (SELECT *, first_value(doc_id) OVER k AS fd, first_value(i) OVER k AS fi FROM v WHERE l IS NOT NULL WINDOW k AS (PARTITION BY k ORDER BY doc_id, i)),
+h AS (SELECT * FROM f WHERE doc_id <> fd OR i <> fi),
+c AS (SELECT *, CASE WHEN fd = lag(fd) OVER o AND i <= lag(i) OVER o + 50 THEN 0 ELSE 1 END AS new FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM c)
+SELECT doc_id, min(b) AS start_byte, CAST(max(e) AS INTEGER) AS end_byte, CAST(max(i) - min(i) + 50 AS INTEGER) AS n_words, min(fd) AS first_doc_id FROM s GROUP BY doc_id, span
+"""
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and decision for every document, by a model fitted on labelled ones."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+QUERIES["op6_toxicity"] = op6_toxicity
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals for every context limit at which one of them changes."""
+    return token_counts.limits(token_counts.length_histogram(_table(spark, sf_dir, "documents")))
+
+
+QUERIES["op7_token_counts"] = op7_token_counts
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A budget of as many tokens as there are, from the sources' own shares to those flattened by a square root."""
+    return mixing.curriculum(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op9_mixing"] = op9_mixing
+SQL["op9_mixing"] = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(len(regexp_extract_all(text, '[^ \t\n\x0b\f\r]+')), 0) AS tokens, md5(CAST(doc_id AS VARCHAR)) AS o FROM documents),
+s AS (SELECT source, sum(tokens) AS supply FROM t GROUP BY source),
+p AS (SELECT source, CAST(supply AS DOUBLE) AS supply, CAST(sum(supply) OVER () AS DOUBLE) AS budget, CAST(supply AS DOUBLE) / CAST(sum(supply) OVER () AS DOUBLE) AS share FROM s),
+w AS (SELECT *, share / sum(share) OVER () AS a, sqrt(share) / sum(sqrt(share)) OVER () AS b FROM p),
+d AS (SELECT *, (a + b) / 2 AS demand FROM w),
+c AS (SELECT t.*, sum(tokens) OVER (PARTITION BY source ORDER BY o, doc_id ROWS UNBOUNDED PRECEDING) - tokens AS before FROM t),
+e AS (SELECT c.*, d.* EXCLUDE (source), unnest(range(0, CAST(greatest(1, ceil(budget * demand / supply - 1e-9)) AS BIGINT))) AS epoch FROM c JOIN d USING (source)),
+y AS (SELECT *, (before + epoch * supply) / budget AS y FROM e)
+SELECT doc_id, source, tokens, CAST(epoch AS INTEGER) AS epoch, round(least(2 * y / (a + sqrt(greatest(a * a + 2 * (b - a) * y, 0))), 1), 9) AS position FROM y WHERE y < demand + 1e-12
+"""
