@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, ngram_join, sharding, substring_dedup, token_counts, toxicity
+from . import _exchange, bpe, hnsw, kd_search, mixing, ngram_join, sharding, substring_dedup, token_counts, toxicity, warc_zst
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -113,3 +116,38 @@ e AS (SELECT c.*, d.* EXCLUDE (source), unnest(range(0, CAST(greatest(1, ceil(bu
 y AS (SELECT *, (before + epoch * supply) / budget AS y FROM e)
 SELECT doc_id, source, tokens, CAST(epoch AS INTEGER) AS epoch, round(least(2 * y / (a + sqrt(greatest(a * a + 2 * (b - a) * y, 0))), 1), 9) AS position FROM y WHERE y < demand + 1e-12
 """
+
+
+def op1_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest other vectors of every vector."""
+    return kd_search.knn(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op1_knn"] = op1_knn
+SQL["op1_knn"] = f"""
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+d AS (SELECT a.vec_id, b.vec_id AS neighbor_id, list_distance(a.e, b.e) AS distance FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbor_id) AS rank FROM d)
+SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbor_id, round(distance, 6) AS distance FROM r WHERE rank <= {kd_search.K}
+"""
+
+
+def op5_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About the 10 nearest other vectors of every vector."""
+    return hnsw.ann(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op5_hnsw"] = op5_hnsw
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, written to dictionary-compressed archives in the shared folder and read from them again."""
+    folder = os.path.join(_exchange.shared_dir(spark), f"warc-{uuid.uuid4().hex}")
+    warc_zst.write(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
+    return warc_zst.pages_of(warc_zst.read(spark, folder))
+
+
+QUERIES["op8_warc"] = op8_warc
+SQL["op8_warc"] = """
+SELECT page_id, url, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n_bytes, md5(coalesce(html, '')) AS payload_md5, CAST(NULL AS VARCHAR) AS error FROM pages
+"""

@@ -179,7 +179,7 @@ def read(spark: SparkSession, path: str, glob: str = "*.warc.zst") -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path")
     # only names are read here; a task takes few of them, for archives are large
     n = max(1, min(files.count(), 1 << 15))
-    return files.repartition(n, "path").mapInArrow(_read, _ROWS_SQL)
+    return files.repartition(n).mapInArrow(_read, _ROWS_SQL)
 
 
 def train_dictionary(samples: list[bytes], size: int = 1 << 15) -> bytes:
