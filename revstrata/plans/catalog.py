@@ -1,20 +1,516 @@
-"""Registry of queries and of their SQL."""
+"""Every query by name, over whole tables, and the same rows in SQL for another engine."""
 
 from __future__ import annotations
 
+import textwrap
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from revstrata.functions import dates, links, markup, strings, titles
+from revstrata.operators import filters, graph, pageviews, sequence, terms, timeseries
+from revstrata.plans import views as V
+from revstrata.shared import shared_path
+from revstrata.sources import records, sinks
+from revstrata.streaming import windows
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-_REV = """SELECT doc_id % 50 AS page_id, doc_id + 1 AS rev_id, 1293840001000 + doc_id * 21600000 AS ts_ms,
- CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END AS ns FROM documents"""
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = textwrap.dedent(sql).strip()
+        return f
+
+    return add
+
+
+# Aggregates, filters and projections of revisions
 
 
+@query(f"WITH {V.SQL_REV} SELECT page_id, min(ts_ms) AS created_ms FROM rev GROUP BY page_id")
 def page_creation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.read.parquet(f"{sf_dir}/documents.parquet").createOrReplaceTempView("documents")
-    return spark.sql(f"SELECT page_id, min(ts_ms) AS created_ms FROM ({_REV}) GROUP BY page_id")
+    return V.rev(spark, sf_dir).groupBy("page_id").agg(F.min("ts_ms").alias("created_ms"))
+
+
+@query(f"WITH {V.SQL_REV} SELECT max(ts_ms) AS last_ms FROM rev")
+def max_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.rev(spark, sf_dir).agg(F.max("ts_ms").alias("last_ms"))
+
+
+@query(f"WITH {V.SQL_REV} SELECT page_id, rev_id, ts_ms FROM rev WHERE ts_ms >= 1296518400000 AND ts_ms < 1298937600000")
+def time_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.time_window(V.rev(spark, sf_dir), "2011-02-01", "2011-03-01T00:00:00Z").select("page_id", "rev_id", "ts_ms")
+
+
+@query(f"WITH {V.SQL_REV} SELECT page_id, rev_id, ts_ms FROM rev WHERE ts_ms > 1296518400000 AND ts_ms < 1298937600000")
+def strict_window_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.strict_window(V.rev(spark, sf_dir), 1296518400000, 1298937600000).select("page_id", "rev_id", "ts_ms").orderBy("ts_ms", "rev_id")
+
+
+@query(f"WITH {V.SQL_REV} SELECT page_id, rev_id, title FROM rev WHERE ns = 0")
+def article_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.article_only(V.rev(spark, sf_dir), "ns").select("page_id", "rev_id", "title")
+
+
+@query(f"WITH {V.SQL_REV} SELECT page_id, rev_id, length FROM rev WHERE length >= 10")
+def min_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.min_bytes(V.rev(spark, sf_dir)).select("page_id", "rev_id", "length")
+
+
+@query("SELECT doc_id FROM documents WHERE length(text) BETWEEN 11 AND 562949953421312")
+def length_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.length_bounds(V.table(spark, sf_dir, "documents")).select("doc_id")
+
+
+@query(f"WITH {V.SQL_REV} SELECT page_id, rev_id, ts_ms FROM rev")
+def revision_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.rev(spark, sf_dir).select("page_id", "rev_id", "ts_ms")
+
+
+@query(f"WITH {V.SQL_REV} SELECT page_id, rev_id, ts_ms, title FROM rev WHERE ns = 0")
+def temporal_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.article_only(V.rev(spark, sf_dir), "ns").select("page_id", "rev_id", "ts_ms", "title")
+
+
+@query(f"WITH {V.SQL_REV} SELECT ts_ms, rev_id, parent_id FROM rev WHERE ts_ms >= 1296518400000")
+def parent_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.time_window(V.rev(spark, sf_dir), 1296518400000).select("ts_ms", "rev_id", "parent_id").orderBy("ts_ms", "rev_id")
+
+
+@query(f"WITH {V.SQL_REV} SELECT page_id, rev_id, round(CASE WHEN minor THEN 0.0005::DOUBLE WHEN coalesce(p, 0) = 0 THEN 1::DOUBLE ELSE abs(length - p)::DOUBLE / p END, 9) AS score FROM (SELECT *, lag(length) OVER (PARTITION BY page_id ORDER BY ts_ms, rev_id) AS p FROM rev) x")
+def change_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = sequence.pairs(V.rev(spark, sf_dir).select("page_id", "rev_id", "ts_ms", "length", "minor"))
+    return p.select("page_id", "rev_id", F.round(strings.change_score(F.col("length"), F.col("prev_length"), F.col("minor")), 9).alias("score"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars BETWEEN 100 AND 1000 THEN 1 ELSE 0 END AS inside FROM documents")
+def closed_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "documents").select("doc_id", filters.in_range(F.col("n_chars"), 100, 1000).cast("int").alias("inside"))
+
+
+@query(f"WITH {V.SQL_REV} SELECT count(*) AS total, count(DISTINCT page_id) AS pages, count_if(length < 10) AS skipped, count_if(ns <> 0) AS other FROM rev")
+def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.rev(spark, sf_dir).agg(F.count("*").alias("total"), F.count_distinct("page_id").alias("pages"), F.count_if(F.col("length") < 10).alias("skipped"), F.count_if(F.col("ns") != 0).alias("other"))
+
+
+@query(f"WITH {V.SQL_REV} SELECT page_id, rev_id FROM rev WHERE page_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def seed_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.seeds(V.rev(spark, sf_dir), V.table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")).select("page_id", "rev_id")
+
+
+@query(f"WITH {V.SQL_REV} SELECT page_id, rev_id FROM rev WHERE page_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)")
+def seed_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.seeds(V.rev(spark, sf_dir), V.table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"), anti=True).select("page_id", "rev_id")
+
+
+@query()
+def random_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.bernoulli(V.rev(spark, sf_dir).select("page_id", "rev_id"))
+
+
+@query("SELECT CAST(1704067200000 + event_id AS BIGINT) AS ts, event_type AS rest FROM events")
+def mended_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = V.table(spark, sf_dir, "events")
+    tab = F.when(F.col("event_id") % 2 == 0, "\t").otherwise("")
+    return filters.mended_timestamps(e.select(F.concat((F.col("event_id") + 1704067200000).cast("string"), tab, "event_type").alias("value")))
+
+
+# Sequences of revisions
+
+
+@query(f"WITH {V.SQL_REV} SELECT page_id, rev_id, ts_ms, coalesce(lag(rev_id) OVER w, -1) AS prev_rev_id, coalesce(lag(ts_ms) OVER w, 0) AS prev_ts_ms, coalesce(lag(length) OVER w, 0) AS prev_length FROM rev WINDOW w AS (PARTITION BY page_id ORDER BY ts_ms, rev_id)")
+def revision_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.pairs(V.rev(spark, sf_dir).select("page_id", "rev_id", "ts_ms", "length")).select("page_id", "rev_id", "ts_ms", "prev_rev_id", "prev_ts_ms", "prev_length")
+
+
+def _bucket_sql(unit: str) -> str:
+    return f"""WITH {V.SQL_REV}, b AS (SELECT page_id, rev_id, ts_ms, row_number() OVER (PARTITION BY page_id, date_trunc('{unit}', epoch_ms(ts_ms)) ORDER BY ts_ms DESC, rev_id DESC) AS k FROM rev)
+    SELECT page_id, rev_id, coalesce(lag(rev_id) OVER (PARTITION BY page_id ORDER BY ts_ms, rev_id), -1) AS prev_rev_id FROM b WHERE k = 1"""
+
+
+for _unit in dates.UNITS:
+
+    def _bucket(spark: SparkSession, sf_dir: str, unit: str = _unit) -> DataFrame:
+        return sequence.bucket_pairs(V.rev(spark, sf_dir), unit).select("page_id", "rev_id", "prev_rev_id")
+
+    QUERIES[f"bucket_last_{_unit}"], SQL[f"bucket_last_{_unit}"] = _bucket, _bucket_sql(_unit)
+
+_MID = "abs(o.length - f.blen)::DOUBLE / f.blen"
+
+
+def _adaptive_sql(last: bool = True, where: str = "") -> str:
+    return f"""WITH RECURSIVE {V.SQL_REV},
+    o AS (SELECT page_id, rev_id, length, row_number() OVER (PARTITION BY page_id ORDER BY ts_ms, rev_id) AS rn, count(*) OVER (PARTITION BY page_id) AS n FROM rev WHERE length >= 10),
+    f AS (SELECT page_id, rn, rev_id AS base, length AS blen, CAST(NULL AS BIGINT) AS emit, n FROM o WHERE rn = 1
+      UNION ALL SELECT f.page_id, o.rn, CASE WHEN {_MID} BETWEEN 0.01::DOUBLE AND 0.1::DOUBLE THEN f.base ELSE o.rev_id END, CASE WHEN {_MID} BETWEEN 0.01::DOUBLE AND 0.1::DOUBLE THEN f.blen ELSE o.length END,
+        CASE WHEN {_MID} > 0.1::DOUBLE THEN f.base END, f.n FROM f JOIN o ON o.page_id = f.page_id AND o.rn = f.rn + 1)
+    SELECT page_id, emit AS rev_id FROM f WHERE emit IS NOT NULL""" + (" UNION ALL SELECT page_id, base FROM f WHERE rn = n" if last else "")
+
+
+@query(_adaptive_sql())
+def adaptive_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.adaptive_sample(V.rev(spark, sf_dir))
+
+
+_SCORE = f"CASE WHEN f.lts IS NULL THEN {_MID} WHEN o.ts_ms - f.lts <= {sequence.MONTH_MS} THEN 0.0005::DOUBLE ELSE abs(o.length - f.llen)::DOUBLE / f.blen END"
+
+
+@query(f"""WITH RECURSIVE {V.SQL_REV},
+    o AS (SELECT page_id, rev_id, ts_ms, length, row_number() OVER (PARTITION BY page_id ORDER BY ts_ms, rev_id) AS rn, count(*) OVER (PARTITION BY page_id) AS n FROM rev WHERE length >= 10),
+    f AS (SELECT page_id, rn, rev_id AS base, length AS blen, ts_ms AS bts, CAST(NULL AS BIGINT) AS lts, CAST(NULL AS BIGINT) AS llen, CAST(NULL AS BIGINT) AS emit, n FROM o WHERE rn = 1
+      UNION ALL SELECT page_id, rn, CASE WHEN s BETWEEN 0.01::DOUBLE AND 0.1::DOUBLE THEN base ELSE rev_id END, CASE WHEN s BETWEEN 0.01::DOUBLE AND 0.1::DOUBLE THEN blen ELSE length END,
+        CASE WHEN s BETWEEN 0.01::DOUBLE AND 0.1::DOUBLE THEN bts ELSE ts_ms END, CASE WHEN s > 0.1::DOUBLE THEN bts ELSE lts END, CASE WHEN s > 0.1::DOUBLE THEN blen ELSE llen END, CASE WHEN s > 0.1::DOUBLE THEN base END, n
+      FROM (SELECT f.page_id, o.rn, o.rev_id, o.length, o.ts_ms, f.base, f.blen, f.bts, f.lts, f.llen, f.n, {_SCORE} AS s FROM f JOIN o ON o.page_id = f.page_id AND o.rn = f.rn + 1) x)
+    SELECT page_id, emit AS rev_id FROM f WHERE emit IS NOT NULL UNION ALL SELECT page_id, base FROM f WHERE rn = n""")
+def adaptive_sample_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.adaptive_sample(V.rev(spark, sf_dir), interval_ms=sequence.MONTH_MS)
+
+
+@query()
+def revision_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = sequence.revision_diffs(V.rev(spark, sf_dir))
+    return d.select("page_id", "rev_id", "prev_rev_id", F.size("deltas").alias("n_deltas"), F.to_json("deltas").alias("deltas"))
+
+
+@query()
+def concat_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = sequence.concatenated(V.rev(spark, sf_dir), "month")
+    return c.select("page_id", "rev_id", F.size("patches").alias("n_patches"), F.concat_ws(" ", "text", F.array_join("patches", " ")).alias("text"))
+
+
+@query(f"""WITH {V.SQL_REV}, pts AS (SELECT DISTINCT page_id, 1293840001000 + k * 864000000 AS at_ms FROM rev, range(0, 10) t(k))
+    SELECT page_id, at_ms, rev_id FROM (SELECT p.page_id, at_ms, rev_id, row_number() OVER (PARTITION BY p.page_id, at_ms ORDER BY ts_ms DESC, rev_id DESC) AS k
+      FROM pts p LEFT JOIN rev r ON r.page_id = p.page_id AND r.ts_ms <= p.at_ms) x WHERE k = 1""")
+def revision_in_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = V.rev(spark, sf_dir)
+    points = r.select("page_id").distinct().select("page_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.lit(V.EPOCH) + k * F.lit(864000000).cast("bigint"))).alias("at_ms"))
+    return sequence.in_effect(points, r)
+
+
+# Terms
+
+_TOKENS = r"SELECT {k}, unnest(list_filter(string_split_regex(lower(text), '\s+'), x -> x <> '')) AS term FROM {t}"
+
+
+@query(f"WITH {V.SQL_REV} SELECT page_id, rev_id, ts_ms, CAST(len(list_filter(string_split_regex(lower(text), '\\s+'), x -> x <> '')) AS BIGINT) AS n_tokens FROM rev")
+def revision_length_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.token_lengths(V.rev(spark, sf_dir))
+
+
+@query(f"WITH {V.SQL_REV} SELECT term, page_id, rev_id, ts_ms, count(*) AS tf FROM ({_TOKENS.format(k='page_id, rev_id, ts_ms', t='rev')}) x GROUP BY ALL")
+def tf_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.postings(V.rev(spark, sf_dir))
+
+
+_STATS = f"""t AS (SELECT doc_id, term, count(*) AS tf FROM ({_TOKENS.format(k="doc_id", t="documents")}) x WHERE length(term) <= 64 GROUP BY ALL),
+ stats AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM t GROUP BY term HAVING count(*) >= 100)"""
+_DICT = _STATS + ", dict AS (SELECT term, row_number() OVER (ORDER BY df DESC, term) AS term_id, df, cf FROM stats)"
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+@query(f"WITH {_STATS} SELECT term, df, cf FROM stats")
+def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.term_stats(_docs(spark, sf_dir))
+
+
+@query(f"WITH {_DICT} SELECT term, term_id, df, cf FROM dict")
+def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.dictionary(terms.term_stats(_docs(spark, sf_dir)))
+
+
+@query(r"WITH " + _DICT + r""", w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\s+'), x -> x <> '') AS w FROM documents WHERE length(text) >= 11),
+    e AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM w),
+    v AS (SELECT doc_id, string_agg(term_id, ' ' ORDER BY pos) AS term_ids FROM e JOIN dict USING (term) GROUP BY doc_id)
+    SELECT doc_id, coalesce(term_ids, '') AS term_ids FROM documents LEFT JOIN v USING (doc_id)""")
+def doc_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _docs(spark, sf_dir)
+    v = terms.document_vectors(d, terms.dictionary(terms.term_stats(d)))
+    return v.select("doc_id", F.array_join(F.transform("term_ids", lambda x: x.cast("string")), " ").alias("term_ids"))
+
+
+@query(f"""WITH {V.SQL_REV}, o AS (SELECT page_id, rev_id, ts_ms, text, lag(rev_id) OVER w AS prev, coalesce(lag(ts_ms) OVER w, -1) AS last_ts FROM rev WINDOW w AS (PARTITION BY page_id ORDER BY ts_ms, rev_id)),
+    c AS (SELECT page_id, rev_id, prev, ts_ms, last_ts, term, count(*) AS n FROM ({_TOKENS.format(k="page_id, rev_id, prev, ts_ms, last_ts", t="o")}) x GROUP BY ALL)
+    SELECT c.term AS word, c.page_id, c.last_ts, c.ts_ms, c.n - coalesce(p.n, 0) AS n FROM c LEFT JOIN c p ON p.page_id = c.page_id AND p.rev_id = c.prev AND p.term = c.term WHERE c.n > coalesce(p.n, 0)""")
+def temporal_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.temporal_index(V.rev(spark, sf_dir))
+
+
+@query(f"""WITH {V.SQL_ANCHOR}, d AS (SELECT term, row_number() OVER (ORDER BY df DESC, term) AS term_id FROM (SELECT term, count(DISTINCT revid) AS df FROM (SELECT revid, anchor AS term FROM anchor) x GROUP BY term HAVING count(DISTINCT revid) >= 100) y)
+    SELECT CAST(term_id AS VARCHAR) AS term_ids, string_agg(DISTINCT target, ' ' ORDER BY target) AS targets FROM anchor JOIN d ON d.term = anchor.anchor GROUP BY term_id""")
+def anchor_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = graph.anchors(V.wikitext(spark, sf_dir))
+    per_rev = a.groupBy("revid").agg(F.concat_ws(" ", F.collect_list("anchor")).alias("text"))
+    v = terms.anchor_vectors(a, terms.dictionary(terms.term_stats(per_rev, "revid")))
+    return v.select(F.array_join(F.transform("term_ids", lambda x: x.cast("string")), " ").alias("term_ids"), F.array_join("targets", " ").alias("targets"))
+
+
+# Links, templates, markup
+
+
+@query(f"WITH {V.SQL_ANCHOR} SELECT ts, pid, revid, parent, anchor, target FROM anchor")
+def wiki_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.anchors(V.wikitext(spark, sf_dir))
+
+
+@query()
+def links_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.anchors_with_context(V.wikitext(spark, sf_dir))
+
+
+@query(f"WITH {V.SQL_WIKI} SELECT rev_id, unnest(regexp_extract_all(text, 'http://\\S+?\\s')) AS ref FROM wiki")
+def http_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.wikitext(spark, sf_dir).select("rev_id", F.explode(links.references(F.col("text"))).alias("ref"))
+
+
+@query(f"""WITH {V.SQL_WIKI}, r AS (SELECT rev_id, unnest(regexp_extract_all(text, '(?s)\\{{\\{{(.*?)\\}}\\}}', 1)) AS n FROM wiki)
+    SELECT rev_id, regexp_replace(n, '(?s)#.*$', '') AS template FROM r WHERE n <> '' AND n NOT LIKE '%icon' AND n NOT LIKE '%sidebar' AND instr(n, '|') <= 1 AND instr(n, ':') = 0 AND instr(n, chr(10)) <= 1""")
+def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.wikitext(spark, sf_dir).select("rev_id", F.explode(links.templates(F.col("text"))).alias("template"))
+
+
+@query()
+def clean_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.wikitext(spark, sf_dir).select("rev_id", markup.clean_markup("text").alias("text"))
+
+
+@query()
+def plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.wikitext(spark, sf_dir).select("rev_id", markup.plain_text("text").alias("text"))
+
+
+@query()
+def annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = V.wikitext(spark, sf_dir).select("rev_id", markup.annotated("text").alias("a"))
+    return a.select("rev_id", F.length("a.text").alias("n_chars"), F.size("a.links").alias("n_links"), F.size("a.paragraphs").alias("n_paragraphs"), F.to_json("a.links").alias("links"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source END AS target FROM documents")
+def redirect_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = V.table(spark, sf_dir, "documents")
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("#REDIRECT [["), "source", F.lit("]]"))).otherwise(F.col("text"))
+    return d.select("doc_id", markup.redirect_of(text).alias("target"))
+
+
+# Graphs and joins
+
+
+@query(f"WITH {V.SQL_ANCHOR} SELECT count(DISTINCT target) AS n_anchors FROM anchor")
+def anchor_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.distinct_anchors(graph.anchors(V.wikitext(spark, sf_dir)))
+
+
+@query(f"WITH {V.SQL_ANCHOR} SELECT ts, pid AS src, page_id AS dst FROM anchor JOIN idmap ON target = title")
+def temporal_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.temporal_graph(graph.anchors(V.wikitext(spark, sf_dir)), V.idmap(spark, sf_dir))
+
+
+@query(f"WITH {V.SQL_ANCHOR} SELECT strftime(epoch_ms(ts), '%Y-%m-%dT%H:%M:%S') AS time, b.title AS src_title, a.title AS dst_title FROM anchor JOIN idmap a ON target = a.title JOIN idmap b ON b.page_id = pid")
+def entity_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.entity_relation(graph.anchors(V.wikitext(spark, sf_dir)), V.idmap(spark, sf_dir))
+
+
+@query(f"WITH {V.SQL_REV} SELECT DISTINCT page_id, title FROM rev")
+def id_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.id_map(V.rev(spark, sf_dir))
+
+
+@query(f"""WITH {V.SQL_REV}, m AS (SELECT title, max(page_id) AS page_id FROM rev GROUP BY title), r AS (SELECT page_id AS from_id, 'Page_' || (page_id // 2) AS to_title, CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS flag FROM m)
+    SELECT m.title, coalesce(t.page_id, m.page_id) AS page_id FROM m LEFT JOIN r ON r.from_id = m.page_id AND flag = 1 LEFT JOIN m t ON t.title = r.to_title""")
+def redirect_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = graph.id_map(V.rev(spark, sf_dir))
+    redirects = ids.select(F.col("page_id").alias("from_id"), F.concat(F.lit("Page_"), F.expr("page_id div 2").cast("string")).alias("to_title"), F.when(F.col("page_id") % 3 == 0, 1).otherwise(0).alias("flag"))
+    return graph.resolve_redirects(ids, redirects)
+
+
+@query(f"WITH {V.SQL_ANCHOR} SELECT replace(trim(target), ' ', '_') AS key, replace(trim(target), ' ', '_') AS title, count(*) AS n FROM anchor GROUP BY ALL")
+def freebase_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.graph_keys(graph.anchors(V.wikitext(spark, sf_dir)))
+
+
+# Time series
+
+_CO = """co AS (SELECT a.dest || '@@' || b.dest AS pair, a.day, CAST(sum(least(a.n, b.n)) AS BIGINT) AS weight FROM c a JOIN c b ON a.src = b.src AND a.day = b.day AND a.dest < b.dest GROUP BY ALL)"""
+_CO_CLICK = f"{V.SQL_CLICK}, c AS (SELECT src, day, dest, count(*) AS n FROM click GROUP BY ALL), {_CO}"
+
+
+@query(f"WITH {V.SQL_CLICK} SELECT src, day, dest, count(*) AS n FROM click GROUP BY ALL")
+def dest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeseries.destination_counts(V.clicks(spark, sf_dir))
+
+
+def _co(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeseries.cooccurrence(timeseries.destination_counts(V.clicks(spark, sf_dir)))
+
+
+@query(f"WITH {_CO_CLICK} SELECT pair, day, weight FROM co")
+def pair_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _co(spark, sf_dir)
+
+
+@query(f"WITH {V.SQL_PURCHASE}, c AS (SELECT src, day, dest, count(*) AS n FROM purchase GROUP BY ALL), {_CO} SELECT pair, day, weight FROM co")
+def part_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeseries.cooccurrence(timeseries.destination_counts(V.purchases(spark, sf_dir)))
+
+
+@query(f"""WITH {_CO_CLICK}, d AS (SELECT CAST(range AS DATE) AS day FROM range(DATE '2024-01-03', DATE '2024-01-28', INTERVAL 1 DAY)), k AS (SELECT DISTINCT pair FROM co WHERE day >= DATE '2024-01-03' AND day < DATE '2024-01-28')
+    SELECT pair, string_agg(coalesce(weight, 0), ' ' ORDER BY d.day) AS series FROM k CROSS JOIN d LEFT JOIN co USING (pair, day) GROUP BY pair""")
+def pair_series_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = timeseries.dense(_co(spark, sf_dir), "2024-01-03", "2024-01-28")
+    return s.select("pair", F.array_join(F.transform("series", lambda x: x.cast("string")), " ").alias("series"))
+
+
+@query(f"WITH {_CO_CLICK} SELECT pair, day, weight FROM co")
+def pair_series_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeseries.flat(_co(spark, sf_dir))
+
+
+# Page views
+
+_VIEWS = "SELECT 'User_' || user_id AS title, CAST(day(ts) AS INTEGER) AS day, CAST(hour(ts) AS INTEGER) AS hour FROM events"
+
+
+@query(f"SELECT title, day, count(*) AS views FROM ({_VIEWS}) GROUP BY ALL")
+def pageviews_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pageviews.daily(pageviews.parsed(V.pageview_lines(spark, sf_dir)))
+
+
+@query(f"SELECT title, day, hour, count(*) AS views FROM ({_VIEWS}) GROUP BY ALL")
+def pageviews_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pageviews.hourly(pageviews.parsed(V.pageview_lines(spark, sf_dir)))
+
+
+_SERIES = f"""n AS (SELECT title, day, count(*) AS n FROM ({_VIEWS}) GROUP BY ALL), t AS (SELECT title, CAST(sum(n) AS BIGINT) AS total FROM n GROUP BY title),
+ s AS (SELECT title, total, string_agg(coalesce(n, 0), ' ' ORDER BY d) AS series FROM t CROSS JOIN range(1, 32) r(d) LEFT JOIN n ON n.title = t.title AND n.day = r.d GROUP BY ALL)"""
+
+
+@query("WITH " + _SERIES.replace("SELECT title, total, string_agg", "SELECT t.title AS title, total, string_agg") + " SELECT title, total, series FROM s")
+def pageview_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = pageviews.daily_series(pageviews.parsed(V.pageview_lines(spark, sf_dir)))
+    return s.select("title", "total", F.array_join(F.transform("series", lambda x: x.cast("string")), " ").alias("series"))
+
+
+@query(f"WITH h AS (SELECT title, (day - 1) * 24 + hour AS slot FROM ({_VIEWS})), n AS (SELECT title, slot, count(*) AS n FROM h GROUP BY ALL), t AS (SELECT DISTINCT title FROM n) SELECT t.title, string_agg(coalesce(n, 0), ' ' ORDER BY d) AS series FROM t CROSS JOIN range(0, 744) r(d) LEFT JOIN n ON n.title = t.title AND n.slot = r.d GROUP BY t.title")
+def pageview_series_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = pageviews.hourly_series(pageviews.parsed(V.pageview_lines(spark, sf_dir)))
+    return s.select("title", F.array_join(F.transform("series", lambda x: x.cast("string")), " ").alias("series"))
+
+
+@query(f"SELECT c_custkey AS page_id, day, count(*) AS views FROM ({_VIEWS}) JOIN customer ON title = 'User_' || c_custkey GROUP BY ALL")
+def pageviews_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = V.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), F.concat(F.lit("User_"), F.col("c_custkey").cast("string")).alias("title"))
+    return pageviews.with_ids(pageviews.daily(pageviews.parsed(V.pageview_lines(spark, sf_dir))), ids).select("page_id", "day", "views")
+
+
+# Scalar functions
+
+_MS = "epoch_ms(ts)"
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, strftime(ts, '%Y%m%d') AS day, strftime(ts, '%Y%m%d') AS from_hour, strftime(ts + INTERVAL 1 DAY, '%Y%m%d') AS next,
+    strftime(date_trunc('hour', ts) + CASE WHEN date_trunc('hour', ts) = ts THEN INTERVAL 0 HOUR ELSE INTERVAL 1 HOUR END, '%Y-%m-%dT%H:%M:%SZ') AS hour_end,
+    strftime(date_trunc('month', ts) + CASE WHEN date_trunc('month', ts) = ts THEN INTERVAL 0 MONTH ELSE INTERVAL 1 MONTH END, '%Y-%m-%dT%H:%M:%SZ') AS month_end FROM events""")
+def date_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = V.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("ms", F.unix_millis("ts"))
+    day = dates.day_of_millis(F.col("ms"))
+    return e.select(
+        "event_id", dates.iso_of_millis(F.col("ms")).alias("iso"), day.alias("day"), dates.hour_to_day(F.date_format("ts", "yyyyMMddHH")).alias("from_hour"), dates.next_day(day).alias("next"),
+        dates.print_iso(dates.ceiling(F.col("ts"), "hour")).alias("hour_end"), dates.print_iso(dates.ceiling(F.col("ts"), "month")).alias("month_end"),
+    )
+
+
+@query("SELECT doc_id, CASE WHEN length(source) > 3 THEN left(source, length(source) - 3) ELSE '' END AS cut FROM documents")
+def cut_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "documents").select("doc_id", strings.cut_last(F.col("source"), 3).alias("cut"))
+
+
+_TWO = ", ".join(f"'{s}'" for s in strings.SUFFIXES)
+
+
+@query(f"""WITH h AS (SELECT page_id, string_split(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1)), '.') AS l FROM pages),
+    n AS (SELECT page_id, l, CASE WHEN array_to_string(l[-2:], '.') IN ({_TWO}) THEN 2 ELSE 1 END AS n FROM h)
+    SELECT page_id, CASE WHEN len(l) > n THEN array_to_string(l[-(n + 1):], '.') || chr(9) || array_to_string(l[-n:], '.') END AS domain FROM n""")
+def domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "pages").select("page_id", strings.domain(F.col("url")).alias("domain"))
+
+
+@query("SELECT doc_id, upper(left(source, 1)) || substr(source, 2) || '_' || lang AS title FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL")
+def title_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = V.table(spark, sf_dir, "documents").where("source is not null and lang is not null")
+    raw = F.concat(F.lit("_"), "source", F.lit("%20"), "lang", F.lit("_%23part&x"))
+    return d.select("doc_id", titles.normalised(titles.decoded(raw)).alias("title"))
+
+
+@query("SELECT doc_id, CAST(len(list_filter(string_split_regex(text, '\\n\\s*'), x -> x <> '')) AS INTEGER) AS n_paragraphs FROM documents")
+def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "documents").select("doc_id", F.size(strings.paragraphs(F.col("text"))).alias("n_paragraphs"))
+
+
+@query("SELECT user_id AS remote, epoch_ms(date_trunc('second', ts)) AS epoch_ms, 'GET' AS method, '/' || event_type AS resource, 'HTTP/1.0' AS protocol, 200 AS status, event_id AS size FROM events")
+def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = V.table(spark, sf_dir, "events")
+    line = F.concat(F.col("user_id").cast("string"), F.lit(" - - ["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0000] "GET /'), "event_type", F.lit(' HTTP/1.0" 200 '), F.col("event_id").cast("string"))
+    return records.parse_log(e.select(line.alias("value"))).select(F.col("remote").cast("bigint").alias("remote"), "epoch_ms", "method", "resource", "protocol", "status", "size")
+
+
+@query(f"WITH {V.SQL_REV} SELECT page_id, rev_id, title, length FROM rev WHERE ns = 0")
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisions written as compressed JSON lines and read from them again."""
+    from revstrata.sources import revisions
+
+    r = V.rev(spark, sf_dir)
+    rows = r.select("page_id", F.col("title").alias("page_title"), F.col("ns").alias("page_namespace"), "rev_id", "parent_id", F.col("ts_ms").alias("timestamp"), F.lit("u").alias("user"), F.lit(1).alias("user_id"), F.lit("").alias("comment"), "text")
+    path = shared_path(spark, "json")
+    sinks.write_json(rows, path, "gzip")
+    back = revisions.read_json(spark, path)
+    return back.select("page_id", "rev_id", F.col("page_title").alias("title"), F.col("length").cast("bigint").alias("length"))
+
+
+# Streams
+
+
+def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = f"{sf_dir}/events.parquet"
+    e = spark.readStream.schema(spark.read.parquet(at).schema).parquet(at)
+    return e.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _drained(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    path = shared_path(spark, name)
+    windows.drained(stream, path, path + "-checkpoint")
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+@query("""SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL
+    HAVING max(time_bucket(INTERVAL 1 DAY, ts)) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = windows.tumbling(_events_stream(spark, sf_dir), ["event_type"], "1 day")
+    return _drained(spark, w, "tumbling").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query("""WITH s AS (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) - k * INTERVAL 1 HOUR AS b FROM events, range(0, 3) r(k))
+    SELECT strftime(b, '%Y-%m-%dT%H:%M:%S') AS begin, event_type, count(*) AS n FROM s GROUP BY ALL HAVING max(b) + INTERVAL 3 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = windows.tumbling(_events_stream(spark, sf_dir), ["event_type"], "3 hours", slide="1 hour")
+    return _drained(spark, w, "sliding").select(F.date_format("window_start", dates.ISO).alias("begin"), "event_type", "n")
+
+
+@query("""WITH a AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a)
+    SELECT user_id, epoch_us(min(ts)) AS begin_us, epoch_us(max(ts)) + 21600000000 AS end_us, count(*) AS n FROM b GROUP BY user_id, s HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = windows.sessions(_events_stream(spark, sf_dir), ["user_id"], "6 hours")
+    return _drained(spark, w, "sessions").select("user_id", F.unix_micros("session_start").alias("begin_us"), F.unix_micros("session_end").alias("end_us"), "n")
 
 
-QUERIES["page_creation"] = page_creation
-SQL["page_creation"] = f"SELECT page_id, min(ts_ms) AS created_ms FROM ({_REV}) r GROUP BY page_id"
+@query(_adaptive_sql(last=False))
+def stream_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = f"{sf_dir}/documents.parquet"
+    r = V.revisions_of(spark.readStream.schema(spark.read.parquet(at).schema).parquet(at))
+    return _drained(spark, windows.adaptive_stream(r.withColumn("ts", F.timestamp_millis("ts_ms"))), "adaptive")
