@@ -21,7 +21,7 @@ def day_of_millis(ms: Column) -> Column:
 
 def hour_to_day(s: Column) -> Column:
     """2011010123 as 20110101; other input is an error."""
-    return F.date_format(F.to_timestamp(s, F.lit("yyyyMMddHH")), "yyyyMMdd")
+    return F.date_format(F.to_timestamp(s, "yyyyMMddHH"), "yyyyMMdd")
 
 
 def next_day(s: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,20 +36,18 @@ def decoded(title: Column) -> Column:
 def normalised(title: Column) -> Column:
     """Cut at # and &, one leading # or _ and one trailing _ dropped, quotes or wiki/ dropped, blanks as _, first letter A-Z."""
     t = title
-    for mark in "#&":
-        t = F.when(F.instr(t, mark) > 1, F.substring_index(t, mark, 1)).otherwise(t)
-    t = F.regexp_replace(F.regexp_replace(t, "^[#_]", ""), "_$", "")
-    n = F.length(t)
-    t = (
-        F.when(t.startswith("'''") & t.endswith("'''") & (n > 6), F.substring(t, F.lit(4), n - 6))
-        .when(t.startswith("''") & t.endswith("''") & (n > 4) & ~t.startswith("'''"), F.substring(t, F.lit(3), n - 4))
-        .when(t.startswith('"') & t.endswith('"') & (n > 2), F.substring(t, F.lit(2), n - 2))
-        .when(t.startswith("wiki/"), F.substring(t, F.lit(6), n))
-        .otherwise(t)
-    )
-    t = F.regexp_replace(F.trim(t), r"\s", "_")
-    first = F.substring(t, 1, 1)
-    return F.when(first.rlike("^[a-z]$"), F.concat(F.upper(first), F.substring(t, F.lit(2), F.length(t)))).otherwise(t)
+    for pattern, kept in (
+        (r"(?s)^([^#]+)#.*$", "$1"),
+        (r"(?s)^([^&]+)&.*$", "$1"),
+        (r"^[#_]", ""),
+        (r"_$", ""),
+        (r"""(?s)^(?:'''(.+)'''|''(.+)''|"(.+)"|wiki/(.*))$""", "$1$2$3$4"),
+        (r"^\s+|\s+$", ""),
+        (r"\s", "_"),
+    ):
+        t = F.regexp_replace(t, pattern, kept)  # each step names the one before once, so the expression stays small
+    first = F.translate(F.substring(t, 1, 1), string.ascii_lowercase, string.ascii_uppercase)
+    return F.concat(first, F.substring(t, F.lit(2), F.length(t)))
 
 
 def day_segments(compact: Column) -> Column:

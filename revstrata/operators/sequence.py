@@ -84,10 +84,11 @@ def revision_diffs(revs: DataFrame, split: Column | None = None) -> DataFrame:
 def added_words(revs: DataFrame) -> DataFrame:
     """(page_id, rev_id, ts_ms, last_ts, word, n): words that a revision has more often than the one before it, and by how many.
 
-    Counted by a shuffle on (page, word): each word's counts over the page's revisions, in order. A word that is absent from the
-    revision before has 0 there, so each count meets the position of its revision. No text leaves its row.
+    One shuffle, by page: counting by (revision, word) and comparing by (page, word) keep that partitioning.
     """
-    order = revs.select("page_id", "rev_id", "ts_ms", F.lag("rev_id").over(by_page()).alias("prev"), F.coalesce(F.lag("ts_ms").over(by_page()), F.lit(-1)).alias("last_ts"), F.explode(tokens(F.col("text"))).alias("word"))
+    w = by_page()
+    order = revs.select("page_id", "rev_id", "ts_ms", F.lag("rev_id").over(w).alias("prev"), F.coalesce(F.lag("ts_ms").over(w), F.lit(-1)).alias("last_ts"), "text")
+    order = order.select("page_id", "rev_id", "ts_ms", "prev", "last_ts", F.explode(tokens(F.col("text"))).alias("word"))
     counts = order.groupBy("page_id", "rev_id", "ts_ms", "prev", "last_ts", "word").agg(F.count("*").alias("n"))
     by_word = Window.partitionBy("page_id", "word").orderBy("ts_ms", "rev_id")
     before = F.when(F.lag("rev_id").over(by_word) == F.col("prev"), F.lag("n").over(by_word)).otherwise(0)

@@ -15,24 +15,16 @@ def occurrences(docs: DataFrame, key: str, words: Column, longest: int = 64) ->
 
 
 def term_stats(docs: DataFrame, key: str = "doc_id", words: Column | None = None, df_min: int = 100, df_max: int | None = None) -> DataFrame:
-    """(term, df, cf). Each document's distinct terms and counts are made within its row, so one shuffle, with partial sums, is
-    enough: df counts rows, cf adds tf."""
+    """(term, df, cf), for documents of a row each. A row gives each of its tokens for cf and each distinct one for df, so one
+    shuffle, of partial sums, is enough: there is none by document and term."""
     words = tokens(F.col("text")) if words is None else words
-    sorted_ = F.array_sort(F.filter(words, lambda x: F.length(x) <= 64))
-    rows = docs.select(F.explode(runs(sorted_)).alias("r")).select("r.term", "r.tf")
-    out = rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= df_min)
+    rows = docs.select(F.filter(words, lambda x: F.length(x) <= 64).alias("w"))
+    one = lambda df, cf: lambda x: F.struct(x.alias("term"), F.lit(df).alias("df"), F.lit(cf).alias("cf"))
+    rows = rows.select(F.inline(F.concat(F.transform("w", one(0, 1)), F.transform(F.array_distinct("w"), one(1, 0)))))
+    out = rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where(F.col("df") >= df_min)
     return out if df_max is None else out.where(F.col("df") <= df_max)
 
 
-def runs(sorted_: Column) -> Column:
-    """array<struct<term, tf>> of a sorted array: its runs, by the positions at which they begin."""
-    n = F.size(sorted_)
-    at = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i == 1) | (F.try_element_at(sorted_, i) != F.try_element_at(sorted_, i - F.when(i > 1, 1).otherwise(0))))
-    ends = F.concat(F.slice(at, F.lit(2), F.greatest(n, F.lit(1))), F.array(n + 1))
-    made = F.zip_with(at, ends, lambda a, b: F.struct(F.try_element_at(sorted_, a).alias("term"), (b - a).cast("bigint").alias("tf")))
-    return F.when(n > 0, made)
-
-
 def dictionary(stats: DataFrame) -> DataFrame:
     """(term, term_id, df, cf): ids from 1 by falling df, then by term.
 

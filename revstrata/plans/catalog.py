@@ -193,10 +193,10 @@ def revision_in_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Terms
 
-_TOKENS = r"SELECT {k}, unnest(list_filter(string_split_regex(lower(text), '\s+'), x -> x <> '')) AS term FROM {t}"
+_TOKENS = r"SELECT {k}, unnest(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) AS term FROM {t}"
 
 
-@query(f"WITH {V.SQL_REV} SELECT page_id, rev_id, ts_ms, CAST(len(list_filter(string_split_regex(lower(text), '\\s+'), x -> x <> '')) AS BIGINT) AS n_tokens FROM rev")
+@query(f"WITH {V.SQL_REV} SELECT page_id, rev_id, ts_ms, CAST(len(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS BIGINT) AS n_tokens FROM rev")
 def revision_length_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.token_lengths(V.rev(spark, sf_dir))
 
@@ -225,7 +225,7 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.dictionary(terms.term_stats(_docs(spark, sf_dir)))
 
 
-@query(r"WITH " + _DICT + r""", w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\s+'), x -> x <> '') AS w FROM documents WHERE length(text) >= 11),
+@query(r"WITH " + _DICT + r""", w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents WHERE length(text) >= 11),
     e AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM w),
     v AS (SELECT doc_id, string_agg(term_id, ' ' ORDER BY pos) AS term_ids FROM e JOIN dict USING (term) GROUP BY doc_id)
     SELECT doc_id, coalesce(term_ids, '') AS term_ids FROM documents LEFT JOIN v USING (doc_id)""")
@@ -336,27 +336,32 @@ def freebase_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Time series
 
+
+def _text_day(df: DataFrame) -> DataFrame:
+    return df.withColumn("day", F.col("day").cast("string"))
+
+
 _CO = """co AS (SELECT a.dest || '@@' || b.dest AS pair, a.day, CAST(sum(least(a.n, b.n)) AS BIGINT) AS weight FROM c a JOIN c b ON a.src = b.src AND a.day = b.day AND a.dest < b.dest GROUP BY ALL)"""
 _CO_CLICK = f"{V.SQL_CLICK}, c AS (SELECT src, day, dest, count(*) AS n FROM click GROUP BY ALL), {_CO}"
 
 
-@query(f"WITH {V.SQL_CLICK} SELECT src, day, dest, count(*) AS n FROM click GROUP BY ALL")
+@query(f"WITH {V.SQL_CLICK} SELECT src, CAST(day AS VARCHAR) AS day, dest, count(*) AS n FROM click GROUP BY ALL")
 def dest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeseries.destination_counts(V.clicks(spark, sf_dir))
+    return _text_day(timeseries.destination_counts(V.clicks(spark, sf_dir)))
 
 
 def _co(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeseries.cooccurrence(timeseries.destination_counts(V.clicks(spark, sf_dir)))
 
 
-@query(f"WITH {_CO_CLICK} SELECT pair, day, weight FROM co")
+@query(f"WITH {_CO_CLICK} SELECT pair, CAST(day AS VARCHAR) AS day, weight FROM co")
 def pair_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _co(spark, sf_dir)
+    return _text_day(_co(spark, sf_dir))
 
 
-@query(f"WITH {V.SQL_PURCHASE}, c AS (SELECT src, day, dest, count(*) AS n FROM purchase GROUP BY ALL), {_CO} SELECT pair, day, weight FROM co")
+@query(f"WITH {V.SQL_PURCHASE}, c AS (SELECT src, day, dest, count(*) AS n FROM purchase GROUP BY ALL), {_CO} SELECT pair, CAST(day AS VARCHAR) AS day, weight FROM co")
 def part_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeseries.cooccurrence(timeseries.destination_counts(V.purchases(spark, sf_dir)))
+    return _text_day(timeseries.cooccurrence(timeseries.destination_counts(V.purchases(spark, sf_dir))))
 
 
 @query(f"""WITH {_CO_CLICK}, d AS (SELECT CAST(range AS DATE) AS day FROM range(DATE '2024-01-03', DATE '2024-01-28', INTERVAL 1 DAY)), k AS (SELECT DISTINCT pair FROM co WHERE day >= DATE '2024-01-03' AND day < DATE '2024-01-28')
@@ -366,9 +371,9 @@ def pair_series_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("pair", F.array_join(F.transform("series", lambda x: x.cast("string")), " ").alias("series"))
 
 
-@query(f"WITH {_CO_CLICK} SELECT pair, day, weight FROM co")
+@query(f"WITH {_CO_CLICK} SELECT pair, CAST(day AS VARCHAR) AS day, weight FROM co")
 def pair_series_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeseries.flat(_co(spark, sf_dir))
+    return _text_day(timeseries.flat(_co(spark, sf_dir)))
 
 
 # Page views
@@ -447,7 +452,7 @@ def title_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", titles.normalised(titles.decoded(raw)).alias("title"))
 
 
-@query("SELECT doc_id, CAST(len(list_filter(string_split_regex(text, '\\n\\s*'), x -> x <> '')) AS INTEGER) AS n_paragraphs FROM documents")
+@query("SELECT doc_id, CAST(len(list_filter(string_split_regex(text, '\\n\\s*'), lambda x: x <> '')) AS INTEGER) AS n_paragraphs FROM documents")
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "documents").select("doc_id", F.size(strings.paragraphs(F.col("text"))).alias("n_paragraphs"))
 
@@ -475,9 +480,14 @@ def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams
 
 
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table as a stream; a pattern, for a stream's path may not name a file."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet")
+
+
 def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = f"{sf_dir}/events.parquet"
-    e = spark.readStream.schema(spark.read.parquet(at).schema).parquet(at)
+    e = _stream(spark, sf_dir, "events")
     return e.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -511,6 +521,5 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_adaptive_sql(last=False))
 def stream_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = f"{sf_dir}/documents.parquet"
-    r = V.revisions_of(spark.readStream.schema(spark.read.parquet(at).schema).parquet(at))
+    r = V.revisions_of(_stream(spark, sf_dir, "documents"))
     return _drained(spark, windows.adaptive_stream(r.withColumn("ts", F.timestamp_millis("ts_ms"))), "adaptive")
