@@ -90,6 +90,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """(text, toxic) of the sample; its ids are broadcast, at most `most`."""
     ids = labels.select(F.col("doc_id").cast("bigint").alias("__id"), F.col("toxic").cast("int").alias("__toxic")).dropna()
     ids = ids.groupBy("__id").agg(F.max("__toxic").alias("__toxic")).orderBy(F.xxhash64("__id"), "__id").limit(most)
+    docs = docs.select("doc_id", "text")
     return docs.join(F.broadcast(ids), docs["doc_id"] == F.col("__id")).select(F.col("text"), F.col("__toxic").alias("toxic")).where("text is not null")
 
 
@@ -137,29 +138,52 @@ def _ratios(kept: int):
     return run
 
 
-def _extract(mask: np.ndarray):
+def _extract(place: np.ndarray):
+    """The features of each text as places among the kept ones, 2 bytes each, or 4 if there are more than 2**16."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = place >= 0
         for batch in batches:
             data, offsets, _ = strings(batch.column(0))
             lists = []
             for i, j in groups(offsets):
                 row, feature = presence(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], mask)
                 ends = np.searchsorted(row, np.arange(j - i + 1))
-                lists += [feature[ends[k] : ends[k + 1]].astype(np.int32).tobytes() for k in range(j - i)]
+                at = place[feature].astype(_place_type(mask))
+                lists += [at[ends[k] : ends[k + 1]].tobytes() for k in range(j - i)]
             yield pa.RecordBatch.from_arrays([pa.array(lists, pa.binary()), batch.column(1).cast(pa.int32())], ["features", "toxic"])
 
     return run
 
 
-def _logistic(row: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.ndarray, width: int, steps: int = 150, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on the whole sample; either class has half of the weight."""
+def _place_type(mask: np.ndarray):
+    return np.uint16 if np.count_nonzero(mask) <= 1 << 16 else np.uint32
+
+
+def _logistic(column: np.ndarray, ends: np.ndarray, ratio: np.ndarray, y: np.ndarray, steps: int = 150, decay: float = 1e-4, block: int = 1 << 20) -> tuple[np.ndarray, float]:
+    """Weights of the scaled features and bias, by Adam on the whole sample; either class has half of the weight.
+
+    Row r has the features column[ends[r]:ends[r + 1]]; rows are taken in blocks, so memory is that of `column` and a block.
+    """
+    width, n = len(ratio), len(y)
     w, bias = np.zeros(width), 0.0
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     m, v, rate = np.zeros(width + 1), np.zeros(width + 1), 0.05
+    cuts = [0]
+    while cuts[-1] < n:
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, ends[cuts[-1]] + block, "right")) - 1))
+    cuts[-1] = n
     for t in range(1, steps + 1):
-        z = np.bincount(row, weights=value * w[column], minlength=len(y)) + bias
-        err = share * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y)
-        g = np.append(np.bincount(column, weights=value * err[row], minlength=width) + decay * w, err.sum())
+        scaled, g = w * ratio, np.zeros(width)
+        slope = 0.0
+        for a, b in zip(cuts, cuts[1:]):
+            some, size = column[ends[a] : ends[b]], np.diff(ends[a : b + 1])
+            row = np.repeat(np.arange(b - a), size)
+            z = np.bincount(row, weights=scaled[some], minlength=b - a) + bias
+            err = share[a:b] * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[a:b])
+            g += np.bincount(some, weights=err[row], minlength=width)
+            slope += err.sum()
+        g = np.append(g * ratio + decay * w, slope)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, bias = w - step[:-1], bias - step[-1]
@@ -175,17 +199,17 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, kept: int = KEPT)
         return none
     found = found.sort_values(["weight", "feature"], ascending=[False, True]).head(kept)
     ids, ratio = found.feature.to_numpy(), found.ratio.to_numpy()
-    mask = np.zeros(1 << BITS, bool)
-    mask[ids] = True
-    place = np.zeros(1 << BITS, np.int64)
+    place = np.full(1 << BITS, -1, np.int32)
     place[ids] = np.arange(len(ids))
-    rows = some.mapInArrow(_extract(mask), "features binary, toxic int").toArrow()
-    y = rows["toxic"].to_numpy().astype(float)
-    lists = [np.frombuffer(x.as_py(), np.int32) for x in rows["features"]]
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    column = place[np.concatenate(lists)] if lists else np.zeros(0, np.int64)
-    order = np.lexsort((column, row))  # the fit doesn't depend on the order in which rows come
-    w, bias = _logistic(row[order], column[order], ratio[column[order]], y, len(ids))
+    rows = some.mapInArrow(_extract(place), "features binary, toxic int").toArrow()
+    y, blobs = rows["toxic"].to_numpy(), [x.as_py() for x in rows["features"]]
+    del rows
+    order = sorted(range(len(blobs)), key=lambda k: (blobs[k], y[k]))  # the fit doesn't depend on the order in which rows come
+    kind = np.dtype(_place_type(place >= 0))
+    ends = np.concatenate(([0], np.cumsum([len(blobs[k]) // kind.itemsize for k in order], dtype=np.int64)))
+    column = np.frombuffer(b"".join(blobs[k] for k in order), kind)
+    del blobs
+    w, bias = _logistic(column, ends, ratio, y[order].astype(float))
     return Model(ids, w * ratio, bias)
 
 
