@@ -29,6 +29,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from . import _exchange as X
 from ._text import U64, groups, mix, pieces, span_hash, strings
@@ -39,6 +40,8 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words of a task between two exchanges.
 _FLUSH = 4_000_000
+#: Words or ids that are looked up at a time.
+_BLOCK = 1 << 18
 
 
 def ranks(path: str = RANKS) -> dict[bytes, int]:
@@ -63,7 +66,8 @@ def split_pattern():
 class Words:
     """Distinct words of the texts added so far, in the order of their first occurrence by hash; and texts as positions."""
 
-    def __init__(self) -> None:
+    def __init__(self, placed: bool = True) -> None:
+        self.placed = placed  # whether positions are kept
         self.hash = np.zeros(0, np.uint64)
         self.texts: list[tuple[np.ndarray, np.ndarray]] = []  # (bytes, lengths) of new words
         self.order = np.zeros(0, np.int64)
@@ -95,7 +99,8 @@ class Words:
         order = np.concatenate([self.order, place[~known]])
         rank = np.argsort(hashes, kind="stable")
         self.hash, self.order = hashes[rank], order[rank]
-        self.positions.append(place[inverse])
+        if self.placed:
+            self.positions.append(place[inverse].astype(np.int32))
         self.seen += len(h)
         return np.bincount(row, minlength=len(offsets) - 1)
 
@@ -109,16 +114,16 @@ class Words:
         return int((np.bitwise_xor.reduce(mix(self.hash + U64(self.n))) >> U64(1)).astype(np.int64)) if self.n else 0
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Words, list[tuple[pa.Array, np.ndarray, np.ndarray]]]]:
+def _parts(batches: Iterator[pa.RecordBatch], placed: bool = True) -> Iterator[tuple[int, Words, list[tuple[pa.Array, np.ndarray, np.ndarray]]]]:
     """(part, words, [(other columns, is null, words of each text)]) for every few million words of a task; text comes last."""
-    part, held, got = TaskContext.get().partitionId() << 20, Words(), []
+    part, held, got = TaskContext.get().partitionId() << 20, Words(placed), []
     for batch in batches:
         data, offsets, null = strings(batch.column(batch.num_columns - 1))
         counts = np.concatenate([held.add(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in groups(offsets)] or [np.zeros(0, np.int64)])
         got.append((batch.column(0) if batch.num_columns > 1 else None, null, counts))
         if held.seen > _FLUSH:
             yield part, held, got
-            part, held, got = part + 1, Words(), []
+            part, held, got = part + 1, Words(placed), []
     if got:
         yield part, held, got
 
@@ -133,7 +138,7 @@ def _gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray
 
 def _ask(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, held, _ in _parts(batches):
+        for part, held, _ in _parts(batches, False):
             if not held.n:
                 continue
             data, size, h = held.words()
@@ -142,6 +147,8 @@ def _ask(buckets: int):
             order = np.argsort(to, kind="stable")
             rows = [(b, part, _gather(data, begin[order[i:j]], size[order[i:j]]).tobytes(), _sizes(size[order[i:j]])) for b, i, j in X.slices(to[order])]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ASKED)], schema=_ASKED)
+            del rows, data, size, begin, h, held
+            X.trim()
 
     return run
 
@@ -221,6 +228,8 @@ def _place(buckets: int):
             blob = np.where(big, 0xFFFF, at).astype(np.uint16).tobytes() + at[big].astype(np.uint32).tobytes()
             row = (part, to.astype(np.uint16).tobytes(), held.check(), sink.getvalue().to_pybytes(), null.tobytes(), counts.astype(np.uint32).tobytes(), blob)
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.binary(), pa.int64(), *[pa.binary()] * 4))], _names(_PLACED_SQL))
+            del row, blob, at, big, held, got
+            X.trim()
 
     return run
 
@@ -236,9 +245,9 @@ def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
         doc = r.read_all()["id"].combine_chunks()
     counts = np.frombuffer(x["counts"], np.uint32).astype(np.int64)
     n = int(counts.sum())
-    at = np.frombuffer(x["positions"], np.uint16, n).astype(np.int64)
+    at = np.frombuffer(x["positions"], np.uint16, n).astype(np.int32)
     at[at == 0xFFFF] = np.frombuffer(x["positions"], np.uint32, offset=2 * n)
-    to = np.frombuffer(x["buckets"], np.uint16).astype(np.int64)
+    to = np.frombuffer(x["buckets"], np.uint16)
     order = np.argsort(to, kind="stable")  # the words in the order of the answers
     by = np.argsort(right["bucket"].to_numpy()) if right.num_rows else []
     sizes = np.concatenate([_unsizes(right["sizes"][int(k)].as_py()) for k in by] or [np.zeros(0, np.int64)])
@@ -247,21 +256,32 @@ def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
         raise RuntimeError("the input gave other rows when it was read again; write it first")
     size, begin = np.empty(len(to), np.int64), np.empty(len(to), np.int64)
     size[order], begin[order] = sizes, np.cumsum(sizes) - sizes
-    ends = np.concatenate(([0], np.cumsum(size[at])))[np.concatenate(([0], np.cumsum(counts)))]
-    flat = _gather(ids, begin[at], size[at]).astype(np.int32)
+    del sizes, order, right
     null = np.frombuffer(x["nulls"], bool)
-    offsets = pa.array(ends.astype(np.int32), mask=np.append(null, False)) if null.any() else pa.array(ends.astype(np.int32))
-    return pa.table({"doc_id": doc, "ids": pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))})
+    word_ends = np.concatenate(([0], np.cumsum(counts)))
+    kind = pa.list_(pa.int32())
+    tables, i, a = [], 0, None
+    while i < len(counts):  # some documents at a time: memory follows the ids and not the indices
+        j = min(len(counts), max(i + 1, int(np.searchsorted(word_ends, word_ends[i] + _BLOCK, "right")) - 1))
+        a = at[word_ends[i] : word_ends[j]]
+        ends = np.concatenate(([0], np.cumsum(size[a])))[word_ends[i : j + 1] - word_ends[i]].astype(np.int32)
+        offsets = pa.array(ends, mask=np.append(null[i:j], False)) if null[i:j].any() else pa.array(ends)
+        lists = pa.ListArray.from_arrays(offsets, pa.array(_gather(ids, begin[a], size[a]).astype(np.int32), pa.int32()))
+        tables.append(pa.table({"doc_id": doc.slice(i, j - i), "ids": lists}))
+        i = j
+    del at, a, ids, size, begin
+    X.trim()
+    return pa.concat_tables(tables) if tables else pa.table({"doc_id": doc, "ids": pa.array([], kind)})
 
 
 def encode(docs: DataFrame, path: str = RANKS) -> DataFrame:
     """(doc_id, ids) of every row; docs has doc_id and text."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    result = StructType([docs.schema["doc_id"], StructField("ids", ArrayType(IntegerType()))])
     rows = docs.select("doc_id", "text")
     b = min(X.buckets(rows), 1 << 16)
     answers = rows.select("text").mapInArrow(_ask(b), _ASKED_SQL).groupBy("bucket").applyInArrow(_encode_words(path), _ANSWER_SQL)
     placed = rows.mapInArrow(_place(b), _PLACED_SQL)
-    return placed.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_meet, f"doc_id {kind}, ids array<int>")
+    return placed.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_meet, result)
 
 
 @functools.lru_cache(2)
@@ -275,26 +295,34 @@ def _decoder(path: str, at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = piece_table(path)
         for batch in batches:
-            ids = batch.column(at)
-            null = ids.is_null().to_numpy(zero_copy_only=False)
-            start = np.concatenate(([0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy())))
-            flat = ids.flatten().fill_null(-1).to_numpy()
-            flat = np.where((flat < 0) | (flat >= len(table) - 1), len(table) - 1, flat)
-            joined = table.take(pa.array(flat))  # the join: an id is the place of its piece
-            ends = np.frombuffer(joined.buffers()[1], np.int32)[joined.offset : joined.offset + len(joined) + 1] if len(joined) else np.zeros(1, np.int32)
-            offsets = pa.array(ends[start].astype(np.int32), mask=np.append(null, False)) if null.any() else pa.array(ends[start].astype(np.int32))
-            raw = pa.BinaryArray.from_buffers(pa.binary(), len(batch), [None, offsets.buffers()[1], joined.buffers()[2]])
-            try:
-                text = raw.cast(pa.string())
-            except pa.ArrowInvalid:
-                text = pa.array([x.as_py().decode("utf-8", "replace") for x in raw], pa.string())
-            if null.any():
-                text = pa.compute.if_else(pa.array(null), pa.scalar(None, pa.string()), text)
-            yield pa.RecordBatch.from_arrays([*batch.columns, text], names)
+            ends = np.concatenate(([0], np.cumsum(batch.column(at).value_lengths().fill_null(0).to_numpy())))
+            i = 0
+            while i < len(batch):  # some rows at a time: memory follows them and not the batch
+                j = min(len(batch), max(i + 1, int(np.searchsorted(ends, ends[i] + 4 * _BLOCK, "right")) - 1))
+                rows = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*rows.columns, _texts(rows.column(at), table)], names)
+                i = j
+            X.trim()
 
     return run
 
 
+def _texts(ids: pa.Array, table: pa.Array) -> pa.Array:
+    null = ids.is_null().to_numpy(zero_copy_only=False)
+    start = np.concatenate(([0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy())))
+    flat = ids.flatten().fill_null(-1).to_numpy()
+    flat = np.where((flat < 0) | (flat >= len(table) - 1), len(table) - 1, flat)
+    joined = table.take(pa.array(flat))  # the join: an id is the place of its piece
+    ends = np.frombuffer(joined.buffers()[1], np.int32)[joined.offset : joined.offset + len(joined) + 1] if len(joined) else np.zeros(1, np.int32)
+    offsets = pa.array(ends[start].astype(np.int32), mask=np.append(null, False)) if null.any() else pa.array(ends[start].astype(np.int32))
+    raw = pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, offsets.buffers()[1], joined.buffers()[2]])
+    try:
+        text = raw.cast(pa.string())
+    except pa.ArrowInvalid:
+        text = pa.array([x.as_py().decode("utf-8", "replace") for x in raw], pa.string())
+    return pa.compute.if_else(pa.array(null), pa.scalar(None, pa.string()), text) if null.any() else text
+
+
 def decode(encoded: DataFrame, path: str = RANKS, ids: str = "ids", to: str = "text") -> DataFrame:
     """The rows, with the text of their ids in a further column: ids join the id-to-piece table by position, a batch at a time.
 
