@@ -130,7 +130,28 @@ def without(df: DataFrame, key: str, ids: DataFrame, most: int = 2_000_000) -> D
     """The rows of df whose key isn't in ids (one column, distinct): ids are broadcast up to `most` rows, else both shuffle."""
     from pyspark.sql import functions as F
 
-    ids = ids.toDF("__gone")
+    gone = free(df, "__gone")
+    ids = ids.toDF(gone)
     if ids.limit(most + 1).count() <= most:
         ids = F.broadcast(ids)
-    return df.join(ids, df[key] == F.col("__gone"), "left_anti")
+    return df.join(ids, df[key] == F.col(gone), "left_anti")
+
+
+def free(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of df has it."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def trim() -> None:
+    """Give memory that was freed back to the system: a worker that waits for its next task should hold little."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)

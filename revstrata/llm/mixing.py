@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import _exchange as X
+
 #: Hexadecimal digits of the md5 by which a source's running sum is split.
 DIGITS = 3
 KNOTS = (0.0, 1.0)
@@ -109,6 +111,7 @@ def mixed(docs: DataFrame, strength: float = 0.5) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), word_count(F.col("text")).alias("tokens"))
     stats = rows.groupBy("source").agg(F.sum("tokens").alias("supply"), F.avg("tokens").alias("mean"))
     late = F.coalesce(F.try_divide("mean", F.col("mean") + F.lit(500.0)), F.lit(0.0))
-    at = positions(rows.where("doc_id is not null").dropDuplicates(["doc_id"]), tilted(stats, late, strength)).select(F.col("doc_id").alias("__id"), F.col("position").alias("__position"))
-    joined = docs.join(at, docs["doc_id"] == F.col("__id"), "left")
-    return joined.orderBy(F.col("__position").asc_nulls_first(), docs["doc_id"]).select(*[docs[c] for c in docs.columns])
+    key, place = X.free(docs, "__id"), X.free(docs, "__position")
+    at = positions(rows.where("doc_id is not null").dropDuplicates(["doc_id"]), tilted(stats, late, strength)).select(F.col("doc_id").alias(key), F.col("position").alias(place))
+    joined = docs.join(at, docs["doc_id"] == F.col(key), "left")
+    return joined.orderBy(F.col(place).asc_nulls_first(), docs["doc_id"]).select(*[docs[c] for c in docs.columns])

@@ -151,11 +151,20 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table({"doc": [r[0] for r in rows], "check": [r[1] for r in rows], "names": [np.array([bucket], np.uint32).tobytes() + np.uint32(len(r[2])).tobytes() + r[2] for r in rows]}, schema=_BACK)
 
 
-_WINDOWS = pa.schema([("bucket", pa.int32()), ("hash", pa.binary()), ("check", pa.binary()), ("doc", pa.binary()), ("at", pa.binary())])
-_WINDOWS_SQL = "bucket int, hash binary, check binary, doc binary, at binary"
+_WINDOWS = pa.schema([("bucket", pa.int32()), ("hash", pa.binary()), ("check", pa.binary()), ("docs", pa.binary()), ("refs", pa.binary()), ("words", pa.binary()), ("starts", pa.binary()), ("sizes", pa.binary())])
+_WINDOWS_SQL = "bucket int, hash binary, check binary, docs binary, refs binary, words binary, starts binary, sizes binary"
 _AT = np.dtype([("word", "<i4"), ("start", "<i4"), ("end", "<i4")])
 
 
+def _small(x: np.ndarray) -> bytes:
+    """Numbers from 0 in 2 bytes each if they fit, else 4."""
+    return b"H" + x.astype(np.uint16).tobytes() if not len(x) or x.max() < 1 << 16 else b"I" + x.astype(np.uint32).tobytes()
+
+
+def _large(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob[1:], np.dtype(blob[:1].decode()))
+
+
 def _windows(buckets: int, length: int):
     """Windows of documents that hold a shared name: packed by their hash. Offsets are in bytes."""
 
@@ -168,7 +177,9 @@ def _windows(buckets: int, length: int):
             h, c, d, a = h[order], c[order], d[order], a[order]
             for b, i, j in X.slices(X.bucket_of(h, buckets)):
                 o = np.lexsort((a["word"][i:j], d[i:j]))
-                yield b, h[i:j][o].tobytes(), c[i:j][o].tobytes(), d[i:j][o].tobytes(), a[i:j][o].tobytes()
+                docs, refs = np.unique(d[i:j][o], return_inverse=True)
+                x = a[i:j][o]
+                yield b, h[i:j][o].tobytes(), c[i:j][o].tobytes(), docs.tobytes(), _small(refs), _small(x["word"]), x["start"].tobytes(), _small(x["end"] - x["start"])
 
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
@@ -227,7 +238,12 @@ def _repeats(doc_buckets: int):
     """Windows that occur before, with the document of their first occurrence, packed by document."""
 
     def run(table: pa.Table) -> pa.Table:
-        h, c, d, a = (np.concatenate([np.frombuffer(x.as_py(), t) for x in table[n]]) for n, t in (("hash", np.uint64), ("check", np.uint32), ("doc", np.int64), ("at", _AT)))
+        h, c = (np.concatenate([np.frombuffer(x.as_py(), t) for x in table[n]]) for n, t in (("hash", np.uint64), ("check", np.uint32)))
+        d = np.concatenate([np.frombuffer(x.as_py(), np.int64)[_large(r.as_py())] for x, r in zip(table["docs"], table["refs"])])
+        a = np.zeros(len(h), _AT)
+        a["word"], a["end"] = (np.concatenate([_large(x.as_py()) for x in table[n]]) for n in ("words", "sizes"))
+        a["start"] = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in table["starts"]])
+        a["end"] += a["start"]
         order = np.lexsort((a["word"], d, c, h))
         h, c, d, a = h[order], c[order], d[order], a[order]
         new = np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
@@ -278,10 +294,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return hits.groupBy("bucket").applyInArrow(_join_windows(length), _SPANS_SQL)
 
 
-def _cutter(columns: list[str]):
+def _cutter(columns: list[str], cuts: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, spans = batch.column("text"), batch.column("__spans")
+            text, spans = batch.column("text"), batch.column(cuts)
             out = []
             for t, s in zip(text, spans):
                 t, s = t.as_py(), s.as_py()
@@ -303,9 +319,12 @@ def _cutter(columns: list[str]):
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents, all columns, with every repeat but its first occurrence cut from text; n_chars, if there, is set anew."""
-    spans = repeated_spans(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("start_byte", "end_byte")).alias("__spans")).withColumnRenamed("doc_id", "__doc")
-    joined = docs.join(spans, docs["doc_id"].cast("bigint") == F.col("__doc"), "left").select(*[docs[c] for c in docs.columns], "__spans")
-    out = joined.mapInArrow(_cutter(docs.columns), docs.schema)
+    found = X.written(repeated_spans(docs, length), "repeats")
+    X.release(docs.sparkSession)  # what the search shuffled isn't needed for the cut
+    doc, cuts = X.free(docs, "__doc"), X.free(docs, "__spans")
+    spans = found.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list(F.struct("start_byte", "end_byte")).alias(cuts))
+    joined = docs.join(spans, docs["doc_id"].cast("bigint") == F.col(doc), "left").select(*[docs[c] for c in docs.columns], cuts)
+    out = joined.mapInArrow(_cutter(docs.columns, cuts), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out
