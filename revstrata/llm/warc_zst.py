@@ -144,7 +144,7 @@ def _uri(path: str) -> str:
 
 def _rows(path: str) -> Iterator[tuple]:
     fs, at = _open(_uri(path))
-    with fs.open_input_stream(at) as source:
+    with fs.open_input_stream(at, compression=None) as source:
         n = 0
         frames = iter(Frames(source))
         while True:
@@ -183,11 +183,11 @@ def read(spark: SparkSession, path: str, glob: str = "*.warc.zst") -> DataFrame:
 
 
 def train_dictionary(samples: list[bytes], size: int = 1 << 15) -> bytes:
-    """A dictionary of sample records; none of less than 8 samples or too little text."""
+    """A dictionary of sample records, at most an eighth of their bytes; none of less than 8 samples or too little text."""
     import zstandard
 
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes() if len(samples) >= 8 else b""
+        return zstandard.train_dictionary(max(256, min(size, sum(map(len, samples)) // 8)), samples).as_bytes() if len(samples) >= 8 else b""
     except zstandard.ZstdError:
         return b""
 
@@ -202,7 +202,7 @@ def _write(folder: str, date: str, dictionary_from: int, most: int):
         def start(samples):
             nonlocal sink, size, packer
             name = f"part-{TaskContext.get().partitionId():06d}-{len(files):04d}-{uuid.uuid4().hex}.warc.zst"
-            sink = fs.open_output_stream(f"{root}/{name}")
+            sink = fs.open_output_stream(f"{root}/{name}", compression=None)
             files.append([name, 0])
             dictionary = train_dictionary(samples)
             packer = zstandard.ZstdCompressor(level=3, write_content_size=True)
