@@ -13,8 +13,9 @@ Defined results: a null text has null ids, an empty one none; null or repeated d
 white space, any script and any control character make a round trip. Other columns are ignored by `encode`.
 
 The split runs twice over its input (once for the words, once for the positions), which must therefore give the same rows in
-the same tasks when it is read again, as files and written tables do; a checksum of each task's word list is compared, and
-a difference is an error rather than a wrong result.
+the same tasks when it is read again, as files and written tables do. A task is cut into parts row by row, by bytes of text, so
+that the cuts don't depend on Arrow's batches, which differ with the columns that are read. A checksum of each part's words in
+their order travels with the answers; where it differs from that of the positions, this is an error rather than a wrong result.
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ from ._text import U64, groups, mix, pieces, span_hash, strings
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Its split, that of byte-level BPE vocabularies of 50k.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words of a task between two exchanges.
-_FLUSH = 4_000_000
+#: Bytes of text, and 8 for each row, after which a part of a task ends.
+_PART = 24_000_000
 #: Words or ids that are looked up at a time.
 _BLOCK = 1 << 18
 
@@ -111,25 +112,36 @@ class Words:
         return np.concatenate([t for t, _ in self.texts]), np.concatenate([s for _, s in self.texts]), h
 
     def check(self) -> int:
-        return int((np.bitwise_xor.reduce(mix(self.hash + U64(self.n))) >> U64(1)).astype(np.int64)) if self.n else 0
+        """Of the words in their order."""
+        return int(mix(self.hash + mix(self.order.astype(np.uint64) + U64(1))).sum(dtype=np.uint64) >> U64(1))
 
 
 def _parts(batches: Iterator[pa.RecordBatch], placed: bool = True) -> Iterator[tuple[int, Words, list[tuple[pa.Array, np.ndarray, np.ndarray]]]]:
-    """(part, words, [(other columns, is null, words of each text)]) for every few million words of a task; text comes last."""
-    part, held, got = TaskContext.get().partitionId() << 20, Words(placed), []
+    """(part, words, [(other columns, is null, words of each text)]) for every few million words of a task; text comes last.
+
+    A part ends with the row that fills it, wherever batches end.
+    """
+    part, held, got, size = TaskContext.get().partitionId() << 20, Words(placed), [], 0
     for batch in batches:
         data, offsets, null = strings(batch.column(batch.num_columns - 1))
-        counts = np.concatenate([held.add(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in groups(offsets)] or [np.zeros(0, np.int64)])
-        got.append((batch.column(0) if batch.num_columns > 1 else None, null, counts))
-        if held.seen > _FLUSH:
-            yield part, held, got
-            part, held, got = part + 1, Words(placed), []
+        ends = offsets + 8 * np.arange(len(offsets))
+        a = 0
+        while a < len(offsets) - 1:
+            b = min(len(offsets) - 1, int(np.searchsorted(ends, ends[a] + _PART - size)))
+            o = offsets[a : b + 1]
+            counts = np.concatenate([held.add(data[o[i] : o[j]], o[i : j + 1] - o[i]) for i, j in groups(o)])
+            got.append((batch.column(0).slice(a, b - a) if batch.num_columns > 1 else None, null[a:b], counts))
+            size += int(ends[b] - ends[a])
+            a = b
+            if size >= _PART:
+                yield part, held, got
+                part, held, got, size = part + 1, Words(placed), [], 0
     if got:
         yield part, held, got
 
 
-_ASKED = pa.schema([("bucket", pa.int32()), ("part", pa.int64()), ("texts", pa.binary()), ("sizes", pa.binary())])
-_ASKED_SQL = "bucket int, part bigint, texts binary, sizes binary"
+_ASKED = pa.schema([("bucket", pa.int32()), ("part", pa.int64()), ("check", pa.int64()), ("texts", pa.binary()), ("sizes", pa.binary())])
+_ASKED_SQL = "bucket int, part bigint, check bigint, texts binary, sizes binary"
 
 
 def _gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -144,8 +156,8 @@ def _ask(buckets: int):
             data, size, h = held.words()
             begin = np.cumsum(size) - size
             to = X.bucket_of(h, buckets)
-            order = np.argsort(to, kind="stable")
-            rows = [(b, part, _gather(data, begin[order[i:j]], size[order[i:j]]).tobytes(), _sizes(size[order[i:j]])) for b, i, j in X.slices(to[order])]
+            order, check = np.argsort(to, kind="stable"), held.check()
+            rows = [(b, part, check, _gather(data, begin[order[i:j]], size[order[i:j]]).tobytes(), _sizes(size[order[i:j]])) for b, i, j in X.slices(to[order])]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ASKED)], schema=_ASKED)
             del rows, data, size, begin, h, held
             X.trim()
@@ -167,8 +179,8 @@ def _unsizes(blob: bytes) -> np.ndarray:
     return x
 
 
-_ANSWER = pa.schema([("part", pa.int64()), ("bucket", pa.int32()), ("sizes", pa.binary()), ("ids", pa.binary())])
-_ANSWER_SQL = "part bigint, bucket int, sizes binary, ids binary"
+_ANSWER = pa.schema([("part", pa.int64()), ("bucket", pa.int32()), ("check", pa.int64()), ("sizes", pa.binary()), ("ids", pa.binary())])
+_ANSWER_SQL = "part bigint, bucket int, check bigint, sizes binary, ids binary"
 
 
 def _encode_words(path: str):
@@ -180,7 +192,7 @@ def _encode_words(path: str):
         size: list[int] = []
         flat: list[int] = []
         parts = []
-        for part, texts, sizes in zip(table["part"].to_pylist(), table["texts"], table["sizes"]):
+        for part, check, texts, sizes in zip(table["part"].to_pylist(), table["check"].to_pylist(), table["texts"], table["sizes"]):
             texts, ends = texts.as_py(), np.cumsum(_unsizes(sizes.as_py())).tolist()
             at, where = 0, []
             for end in ends:
@@ -193,11 +205,11 @@ def _encode_words(path: str):
                     size.append(len(ids))
                     flat += ids
                 where.append(k)
-            parts.append((part, np.array(where, np.int64)))
+            parts.append((part, check, np.array(where, np.int64)))
         sizes, ids = np.array(size, np.int64), np.array(flat, np.uint32)
         begin = np.cumsum(sizes) - sizes
         bucket = table["bucket"][0].as_py()
-        rows = [(part, bucket, _sizes(sizes[w]), _narrow(_gather(ids, begin[w], sizes[w]))) for part, w in parts]
+        rows = [(part, bucket, check, _sizes(sizes[w]), _narrow(_gather(ids, begin[w], sizes[w]))) for part, check, w in parts]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ANSWER)], schema=_ANSWER)
 
     return run
@@ -240,6 +252,8 @@ def _names(schema: str) -> list[str]:
 
 def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
     """The ids of a part's documents, from positions (left) and answers (right)."""
+    if not left.num_rows or any(c != left["check"][0].as_py() for c in right["check"].to_pylist()):
+        raise RuntimeError("the input gave other rows when it was read again; write it first")
     x = {c: left[c][0].as_py() for c in ("buckets", "id_rows", "nulls", "counts", "positions")}
     with pa.ipc.open_stream(x["id_rows"]) as r:
         doc = r.read_all()["id"].combine_chunks()
