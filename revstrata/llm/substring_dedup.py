@@ -10,7 +10,7 @@ is found, and all but its first occurrence can be cut.
    50 words has at least one in common with its earlier occurrence.
 2. Names that occur once are dropped in one packed exchange; the shared ones go back to their documents.
 3. Verification: each window of `length` words that holds a shared name is hashed (64 + 32 bits) and exchanged; a window is a
-   repeat if it occurs before, by (doc_id, position). Repeats that overlap or touch and have the same first document make one
+   repeat if it occurs before, by (doc_id, hash of the text, position). Repeats that overlap or touch and have the same first document make one
    span.
 
 A word is a run of bytes other than ASCII white space. Defined results: null, empty and short texts have no spans; a row with
@@ -67,6 +67,7 @@ def _merge(symbol, start, size, row, at, seed):
     return symbol[keep], start[keep], size[keep], row[keep]
 
 
+#: A document: its doc_id and a hash of its text.
 _DOC = np.dtype([("id", "<i8"), ("check", "<i8")])
 _SENT = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("refs", pa.binary()), ("docs", pa.binary())])
 _SENT_SQL = "bucket int, keys binary, refs binary, docs binary"
@@ -88,6 +89,25 @@ def _text_check(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return span_hash(data, offsets[:-1], offsets[1:]).view(np.int64) if len(data) else np.zeros(len(offsets) - 1, np.int64)
 
 
+def _ranked(docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct documents in order, the place of each document in them)."""
+    order = np.lexsort((docs["check"], docs["id"]))
+    x = docs[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x["id"][1:] != x["id"][:-1]) | (x["check"][1:] != x["check"][:-1])
+    at = np.empty(len(x), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return x[new], at
+
+
+def _docs_of(table: pa.Table, *refs: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(distinct documents in order, for each column of references to a row's documents their places in them)."""
+    lists = [np.frombuffer(x.as_py(), _DOC) for x in table["docs"]]
+    docs, at = _ranked(np.concatenate(lists))
+    begin = np.cumsum([0] + [len(x) for x in lists])
+    return docs, [np.concatenate([at[b:][_large(r.as_py())] for b, r in zip(begin.tolist(), table[n])]) for n in refs]
+
+
 def _scatter(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, refs, docs, size, rows = [], [], [], 0, 0
@@ -108,11 +128,9 @@ def _scatter(buckets: int):
                 d, o = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 start, end, row = words(d, o)
                 name, first, _ = parse(span_hash(d, start, end), row)
-                doc = np.zeros(j - i, _DOC)
-                doc["id"], doc["check"] = ids[i:j], _text_check(d, o)
                 keys.append(name)
                 refs.append(row[first] + rows)
-                docs.append(doc)
+                docs.append(ids[i:j])
                 size += len(name)
                 rows += j - i
                 if size > _FLUSH or rows > 50_000:
@@ -124,16 +142,16 @@ def _scatter(buckets: int):
     return run
 
 
-_BACK = pa.schema([("doc", pa.int64()), ("check", pa.int64()), ("names", pa.binary())])
-_BACK_SQL = "doc bigint, check bigint, names binary"
+_BACK = pa.schema([("doc", pa.int64()), ("names", pa.binary())])
+_BACK_SQL = "doc bigint, names binary"
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Names that occur at least twice, for each document that has them."""
+    """Names that occur at least twice, for each doc_id that has them in one of its texts."""
     keys, refs, docs, at = [], [], [], 0
     for k, r, d in zip(table["keys"], table["refs"], table["docs"]):
         keys.append(X.unpack_keys(k.as_py()))
-        r, d = r.as_py(), np.frombuffer(d.as_py(), _DOC)
+        r, d = r.as_py(), np.frombuffer(d.as_py(), np.int64)
         refs.append(np.frombuffer(r[1:], np.dtype(r[:1].decode())).astype(np.int64) + at)
         docs.append(d)
         at += len(d)
@@ -146,9 +164,9 @@ def _shared(table: pa.Table) -> pa.Table:
     keys, refs = keys[keep], refs[keep]
     order = np.argsort(refs, kind="stable")
     keys, refs = keys[order], refs[order]
-    rows = [(int(docs["id"][r]), int(docs["check"][r]), np.unique(keys[i:j]).tobytes()) for r, i, j in X.slices(refs)]
+    rows = [(int(docs[r]), np.unique(keys[i:j]).tobytes()) for r, i, j in X.slices(refs)]
     bucket = table["bucket"][0].as_py()
-    return pa.table({"doc": [r[0] for r in rows], "check": [r[1] for r in rows], "names": [np.array([bucket], np.uint32).tobytes() + np.uint32(len(r[2])).tobytes() + r[2] for r in rows]}, schema=_BACK)
+    return pa.table({"doc": [r[0] for r in rows], "names": [np.array([bucket], np.uint32).tobytes() + np.uint32(len(r[1])).tobytes() + r[1] for r in rows]}, schema=_BACK)
 
 
 _WINDOWS = pa.schema([("bucket", pa.int32()), ("hash", pa.binary()), ("check", pa.binary()), ("docs", pa.binary()), ("refs", pa.binary()), ("words", pa.binary()), ("starts", pa.binary()), ("sizes", pa.binary())])
@@ -169,17 +187,18 @@ def _windows(buckets: int, length: int):
     """Windows of documents that hold a shared name: packed by their hash. Offsets are in bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, found, size = [], [], 0
 
         def packed():
             h, c, d, a = (np.concatenate(x) for x in zip(*held))
+            known = np.array(found, _DOC)
             order = np.argsort(h, kind="stable")
             h, c, d, a = h[order], c[order], d[order], a[order]
             for b, i, j in X.slices(X.bucket_of(h, buckets)):
                 o = np.lexsort((a["word"][i:j], d[i:j]))
                 docs, refs = np.unique(d[i:j][o], return_inverse=True)
                 x = a[i:j][o]
-                yield b, h[i:j][o].tobytes(), c[i:j][o].tobytes(), docs.tobytes(), _small(refs), _small(x["word"]), x["start"].tobytes(), _small(x["end"] - x["start"])
+                yield b, h[i:j][o].tobytes(), c[i:j][o].tobytes(), known[docs].tobytes(), _small(refs), _small(x["word"]), x["start"].tobytes(), _small(x["end"] - x["start"])
 
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
@@ -195,6 +214,7 @@ def _windows(buckets: int, length: int):
                 bounds = np.searchsorted(row[first], np.arange(j - i + 1))
                 cut, bucket = X.cut_keys(name, nb), X.bucket_of(name, nb).astype(np.uint64)
                 full = (bucket << U64(X.BITS)) | cut
+                check = _text_check(d, o)
                 for r in range(j - i):
                     lo, hi = int(at[r]), int(at[r + 1])
                     if hi - lo < length:
@@ -214,11 +234,12 @@ def _windows(buckets: int, length: int):
                     x = np.zeros(len(s), _AT)
                     x["word"], x["start"], x["end"] = s, start[lo + s] - o[r], end[lo + s + length - 1] - o[r]
                     w = word[lo:hi]
-                    held.append((rolling(w, length)[s], rolling(w, length, 77)[s].astype(np.uint32), np.full(len(s), ids[i + r], np.int64), x))
+                    held.append((rolling(w, length)[s], rolling(w, length, 77)[s].astype(np.uint32), np.full(len(s), len(found), np.int32), x))
+                    found.append((ids[i + r], check[r]))
                     size += len(s)
                     if size > _FLUSH:
                         yield from _batches(packed(), _WINDOWS)
-                        held, size = [], 0
+                        held, found, size = [], [], 0
         if size:
             yield from _batches(packed(), _WINDOWS)
 
@@ -230,8 +251,8 @@ def _unpack(blob: bytes) -> np.ndarray:
     return (bucket << U64(X.BITS)) | np.frombuffer(blob, np.uint64, offset=8)
 
 
-_HITS = pa.schema([("bucket", pa.int32()), ("doc", pa.binary()), ("at", pa.binary()), ("first", pa.binary())])
-_HITS_SQL = "bucket int, doc binary, at binary, first binary"
+_HITS = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("refs", pa.binary()), ("firsts", pa.binary()), ("at", pa.binary())])
+_HITS_SQL = "bucket int, docs binary, refs binary, firsts binary, at binary"
 
 
 def _repeats(doc_buckets: int):
@@ -239,7 +260,7 @@ def _repeats(doc_buckets: int):
 
     def run(table: pa.Table) -> pa.Table:
         h, c = (np.concatenate([np.frombuffer(x.as_py(), t) for x in table[n]]) for n, t in (("hash", np.uint64), ("check", np.uint32)))
-        d = np.concatenate([np.frombuffer(x.as_py(), np.int64)[_large(r.as_py())] for x, r in zip(table["docs"], table["refs"])])
+        docs, (d,) = _docs_of(table, "refs")
         a = np.zeros(len(h), _AT)
         a["word"], a["end"] = (np.concatenate([_large(x.as_py()) for x in table[n]]) for n in ("words", "sizes"))
         a["start"] = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in table["starts"]])
@@ -251,27 +272,31 @@ def _repeats(doc_buckets: int):
         first_doc, first_word = d[new][group], a["word"][new][group]
         hit = (d != first_doc) | (a["word"] != first_word)
         d, a, first_doc = d[hit], a[hit], first_doc[hit]
-        to = X.doc_bucket(d, doc_buckets)
+        to = X.doc_bucket(docs["id"][d], doc_buckets)
         order = np.lexsort((a["word"], d, to))
         d, a, first_doc, to = d[order], a[order], first_doc[order], to[order]
-        rows = [(b, d[i:j].tobytes(), a[i:j].tobytes(), first_doc[i:j].tobytes()) for b, i, j in X.slices(to)]
+        rows = []
+        for b, i, j in X.slices(to):
+            used, refs = np.unique(np.concatenate([d[i:j], first_doc[i:j]]), return_inverse=True)
+            rows.append((b, docs[used].tobytes(), _small(refs[: j - i]), _small(refs[j - i :]), a[i:j].tobytes()))
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_HITS)], schema=_HITS)
 
     return run
 
 
-_SPANS = pa.schema([("doc_id", pa.int64()), ("start_byte", pa.int32()), ("end_byte", pa.int32()), ("n_words", pa.int32()), ("first_doc_id", pa.int64())])
-_SPANS_SQL = "doc_id bigint, start_byte int, end_byte int, n_words int, first_doc_id bigint"
+_SPANS = pa.schema([("doc_id", pa.int64()), ("check", pa.int64()), ("start_byte", pa.int32()), ("end_byte", pa.int32()), ("n_words", pa.int32()), ("first_doc_id", pa.int64())])
+_SPANS_SQL = "doc_id bigint, check bigint, start_byte int, end_byte int, n_words int, first_doc_id bigint"
 
 
 def _join_windows(length: int):
     def run(table: pa.Table) -> pa.Table:
-        d, a, f = (np.concatenate([np.frombuffer(x.as_py(), t) for x in table[n]]) for n, t in (("doc", np.int64), ("at", _AT), ("first", np.int64)))
+        docs, (d, f) = _docs_of(table, "refs", "firsts")
+        a = np.concatenate([np.frombuffer(x.as_py(), _AT) for x in table["at"]])
         order = np.lexsort((f, a["word"], d))
         d, a, f = d[order], a[order], f[order]
         new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (f[1:] != f[:-1]) | (a["word"][1:] > a["word"][:-1] + length))))
         last = np.append(new[1:], len(d)) - 1
-        return pa.table({"doc_id": d[new], "start_byte": a["start"][new], "end_byte": a["end"][last], "n_words": a["word"][last] - a["word"][new] + length, "first_doc_id": f[new]}, schema=_SPANS)
+        return pa.table({"doc_id": docs["id"][d[new]], "check": docs["check"][d[new]], "start_byte": a["start"][new], "end_byte": a["end"][last], "n_words": a["word"][last] - a["word"][new] + length, "first_doc_id": docs["id"][f[new]]}, schema=_SPANS)
 
     return run
 
@@ -281,6 +306,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     A span holds whole windows of `length` words (45 at least), each of which occurs before; first_doc_id has the first occurrence.
     """
+    return _spans(docs, length).drop("check")
+
+
+def _spans(docs: DataFrame, length: int) -> DataFrame:
+    """repeated_spans, with a hash of the text that the span is in."""
     if length < 45:
         raise ValueError("a shorter passage need not hold a shared name")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
@@ -303,6 +333,8 @@ def _cutter(columns: list[str], cuts: str):
                 t, s = t.as_py(), s.as_py()
                 if s and t is not None:
                     raw = t.encode()
+                    check = int(_text_check(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0])
+                    s = [x for x in s if x["check"] == check]  # those of another text with the same doc_id don't count
                     kept, at = [], 0
                     for x in sorted(s, key=lambda x: (x["start_byte"], x["end_byte"])):
                         if x["start_byte"] > at:
@@ -319,10 +351,10 @@ def _cutter(columns: list[str], cuts: str):
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents, all columns, with every repeat but its first occurrence cut from text; n_chars, if there, is set anew."""
-    found = X.written(repeated_spans(docs, length), "repeats")
+    found = X.written(_spans(docs, length), "repeats")
     X.release(docs.sparkSession)  # what the search shuffled isn't needed for the cut
     doc, cuts = X.free(docs, "__doc"), X.free(docs, "__spans")
-    spans = found.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list(F.struct("start_byte", "end_byte")).alias(cuts))
+    spans = found.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list(F.struct("check", "start_byte", "end_byte")).alias(cuts))
     joined = docs.join(spans, docs["doc_id"].cast("bigint") == F.col(doc), "left").select(*[docs[c] for c in docs.columns], cuts)
     out = joined.mapInArrow(_cutter(docs.columns, cuts), docs.schema)
     if "n_chars" in docs.columns:

@@ -1,8 +1,11 @@
 """Cases that a review found not covered."""
 
+import random
+
 from pyspark.sql import functions as F
+from tests.llm.test_exact import docs_of, prose
 
-from revstrata.llm import bpe
+from revstrata.llm import bpe, substring_dedup
 
 
 def test_bpe_parts_do_not_follow_batches(spark, tmp_path):
@@ -34,3 +37,21 @@ def test_bpe_check_follows_the_order_of_words():
         return held.check()
 
     assert check([b"a b", b"c"]) == check([b"a b", b"c", b"a"]) != check([b"c", b"a b"])
+
+
+def test_substring_dedup_of_texts_that_share_a_doc_id(spark):
+    rng = random.Random(12)
+    passage, other = prose(rng, 60), prose(rng, 70)
+    a = " ".join(passage + prose(rng, 10))
+    b = " ".join(passage + ["é" * 9] * 3 + prose(rng, 30) + other)
+    c = " ".join(prose(rng, 7) + ["ü" * 40] + prose(rng, 30))
+    df = docs_of(spark, [(7, a), (7, b), (7, c), (3, " ".join(other)), (7, a), (9, " ".join(prose(rng, 80)))])
+    found = substring_dedup.repeated_spans(df)
+    assert found.columns == ["doc_id", "start_byte", "end_byte", "n_words", "first_doc_id"]
+    assert sorted((r.doc_id, r.n_words, r.first_doc_id) for r in found.collect()) == [(7, 60, 7), (7, 70, 3)]
+    after = [r.text for r in substring_dedup.without_repeats(df).where("doc_id = 7").collect()]
+    assert len(after) == 4 and c in after  # a text without repeats stays as it is
+    texts = {" ".join(t.split()) for t in after}  # the repeated row is cut, or kept, alike
+    assert len(texts) == 3 and sum(" ".join(passage) in t for t in texts) == 1 and not any(" ".join(other) in t for t in texts)
+    cut_b = next(t for t in texts if "é" * 9 in t)
+    assert cut_b in " ".join(b.replace(" ".join(passage), "").replace(" ".join(other), "").split()) or cut_b == " ".join(b.replace(" ".join(other), "").split())
