@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,9 +33,12 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return substring_dedup.without_repeats(docs)
 
 
-def in_training_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at its place in the curriculum: files, and rows in them, are in the order of training."""
-    return mixing.mixed(docs)
+def in_training_order(spark: SparkSession, docs: DataFrame, sf_dir: str, schedule: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Every document at its place in the curriculum: files, and rows in them, are in the order of training.
+
+    This only orders; with a schedule of target weights (mixing.flattening, say), documents are repeated or left out to meet them.
+    """
+    return mixing.mixed(docs, schedule=schedule)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ tokens at all every position is 0. Columns other than doc_id, source and text ar
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,12 +108,20 @@ def curriculum(docs: DataFrame) -> DataFrame:
     return positions(rows, flattening(supplies(rows))).orderBy("position", "source", "doc_id", "epoch")
 
 
-def mixed(docs: DataFrame, strength: float = 0.5) -> DataFrame:
-    """Every document once, all columns, range-sorted by its position; sources of longer documents come later on the whole."""
+def mixed(docs: DataFrame, strength: float = 0.5, schedule: Callable[[DataFrame], DataFrame] | None = None, knots: tuple[float, ...] = KNOTS, budget: int | None = None) -> DataFrame:
+    """Every document once, all columns, range-sorted by its position; sources of longer documents come later on the whole.
+
+    schedule: gives the target weights from (source, supply), as `flattening` does; then documents are repeated or left out
+    as `positions` says, and a null doc_id stays once. None only orders: no source is raised or lowered.
+    """
     rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), word_count(F.col("text")).alias("tokens"))
     stats = rows.groupBy("source").agg(F.sum("tokens").alias("supply"), F.avg("tokens").alias("mean"))
     late = F.coalesce(F.try_divide("mean", F.col("mean") + F.lit(500.0)), F.lit(0.0))
     key, place = X.free(docs, "__id"), X.free(docs, "__position")
-    at = positions(rows.where("doc_id is not null").dropDuplicates(["doc_id"]), tilted(stats, late, strength)).select(F.col("doc_id").alias(key), F.col("position").alias(place))
+    known = rows.where("doc_id is not null").dropDuplicates(["doc_id"])
+    at = positions(known, schedule(supplies(known)), knots, budget) if schedule else positions(known, tilted(stats, late, strength))
+    at = at.select(F.col("doc_id").alias(key), F.col("position").alias(place))
     joined = docs.join(at, docs["doc_id"] == F.col(key), "left")
+    if schedule:
+        joined = joined.where(docs["doc_id"].isNull() | F.col(place).isNotNull())
     return joined.orderBy(F.col(place).asc_nulls_first(), docs["doc_id"]).select(*[docs[c] for c in docs.columns])

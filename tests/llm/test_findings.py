@@ -1,11 +1,13 @@
 """Cases that a review found not covered."""
 
 import random
+from collections import Counter
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 from tests.llm.test_exact import docs_of, prose
 
-from revstrata.llm import bpe, substring_dedup
+from revstrata.llm import bpe, mixing, substring_dedup
 
 
 def test_bpe_parts_do_not_follow_batches(spark, tmp_path):
@@ -55,3 +57,16 @@ def test_substring_dedup_of_texts_that_share_a_doc_id(spark):
     assert len(texts) == 3 and sum(" ".join(passage) in t for t in texts) == 1 and not any(" ".join(other) in t for t in texts)
     cut_b = next(t for t in texts if "é" * 9 in t)
     assert cut_b in " ".join(b.replace(" ".join(passage), "").replace(" ".join(other), "").split()) or cut_b == " ".join(b.replace(" ".join(other), "").split())
+
+
+def test_mixing_stage_takes_target_weights(spark):
+    rng = random.Random(13)
+    df = docs_of(spark, [(i, " ".join(prose(rng, rng.randrange(1, 60)))) for i in range(300)] + [(None, "no id")], lambda i: "hot" if i and i % 10 else "small")
+    got = [r.doc_id for r in corpus_pipeline.in_training_order(spark, df, "", mixing.flattening).collect()]
+    assert got.count(None) == 1
+    want = mixing.curriculum(df.where("doc_id is not null")).collect()
+    assert Counter(i for i in got if i is not None) == Counter(r.doc_id for r in want)
+    used = Counter(got)
+    assert max(used[i] for i in range(0, 300, 10)) > 1 and any(not used[i] for i in range(300) if i % 10)
+    once = Counter(r.doc_id for r in corpus_pipeline.in_training_order(spark, df, "").collect())
+    assert once == Counter([None, *range(300)])
