@@ -500,6 +500,7 @@ def _drained(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
 @query("""SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL
     HAVING max(time_bucket(INTERVAL 1 DAY, ts)) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that the watermark has closed; the last ones, still open when the table is drained, aren't returned."""
     w = windows.tumbling(_events_stream(spark, sf_dir), ["event_type"], "1 day")
     return _drained(spark, w, "tumbling").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
@@ -507,6 +508,7 @@ def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH s AS (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) - k * INTERVAL 1 HOUR AS b FROM events, range(0, 3) r(k))
     SELECT strftime(b, '%Y-%m-%dT%H:%M:%S') AS begin, event_type, count(*) AS n FROM s GROUP BY ALL HAVING max(b) + INTERVAL 3 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that the watermark has closed; the last ones, still open when the table is drained, aren't returned."""
     w = windows.tumbling(_events_stream(spark, sf_dir), ["event_type"], "3 hours", slide="1 hour")
     return _drained(spark, w, "sliding").select(F.date_format("window_start", dates.ISO).alias("begin"), "event_type", "n")
 
@@ -515,11 +517,13 @@ def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a)
     SELECT user_id, epoch_us(min(ts)) AS begin_us, epoch_us(max(ts)) + 21600000000 AS end_us, count(*) AS n FROM b GROUP BY user_id, s HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that the watermark has closed; the last ones, still open when the table is drained, aren't returned."""
     w = windows.sessions(_events_stream(spark, sf_dir), ["user_id"], "6 hours")
     return _drained(spark, w, "sessions").select("user_id", F.unix_micros("session_start").alias("begin_us"), F.unix_micros("session_end").alias("end_us"), "n")
 
 
 @query(_adaptive_sql(last=False))
 def stream_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As adaptive_sample, but without the last base of each page, which is held until the page's timeout."""
     r = V.revisions_of(_stream(spark, sf_dir, "documents"))
     return _drained(spark, windows.adaptive_stream(r.withColumn("ts", F.timestamp_millis("ts_ms"))), "adaptive")
