@@ -64,7 +64,7 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return d, o - o[0], null
 
 
-def groups(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def groups(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts have about `most` bytes together; a longer text is a range of its own."""
     i, n = 0, len(offsets) - 1
     while i < n:

@@ -6,6 +6,7 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import _exchange, bpe, hnsw, kd_search, mixing, ngram_join, sharding, substring_dedup, token_counts, toxicity, warc_zst
 
@@ -18,19 +19,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_jaccard_join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Class and number of links of every document that is similar to another."""
+    return ngram_join.ngram_links(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES["op10_ngram_jaccard_join"] = op10_ngram_jaccard_join
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SQL["op10_ngram_jaccard_join"] = rf"""
-WITH w AS (SELECT doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
 g AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 3], ' ') END AS g
       FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, o / (x.n + y.n - o) AS jaccard FROM p JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b
-WHERE o / (x.n + y.n - o) >= 0.5
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b, o / (x.n + y.n - o) AS jaccard FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE o / (x.n + y.n - o) >= 0.5),
+r AS (SELECT DISTINCT a AS doc_id, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id),
+c AS (SELECT doc_id, min(root) AS class_id FROM r GROUP BY doc_id)
+SELECT a AS doc_id, any_value(class_id) AS class_id, count(*) AS n_links, least(a, coalesce(min(b) FILTER (jaccard = 1), a)) AS copy_id FROM e JOIN c ON c.doc_id = a GROUP BY a
 """
 
 
@@ -119,22 +123,22 @@ SELECT doc_id, source, tokens, CAST(epoch AS INTEGER) AS epoch, round(least(2 *
 
 
 def op1_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 10 nearest other vectors of every vector."""
-    return kd_search.knn(_table(spark, sf_dir, "embeddings"))
+    """The 10 nearest other vectors, among all of them, of every vector whose id is divisible by 20."""
+    return kd_search.knn(_table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 20 == 0)
 
 
 QUERIES["op1_knn"] = op1_knn
 SQL["op1_knn"] = f"""
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-d AS (SELECT a.vec_id, b.vec_id AS neighbor_id, list_distance(a.e, b.e) AS distance FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+d AS (SELECT a.vec_id, b.vec_id AS neighbor_id, list_distance(a.e, b.e) AS distance FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbor_id) AS rank FROM d)
 SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbor_id, round(distance, 6) AS distance FROM r WHERE rank <= {kd_search.K}
 """
 
 
 def op5_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """About the 10 nearest other vectors of every vector."""
-    return hnsw.ann(_table(spark, sf_dir, "embeddings"))
+    """About the 10 nearest other vectors, among all of them, of every vector whose id is divisible by 20."""
+    return hnsw.ann(_table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 20 == 0)
 
 
 QUERIES["op5_hnsw"] = op5_hnsw

@@ -1,22 +1,27 @@
-"""All pairs of documents whose sets of word n-grams have a Jaccard similarity of at least a threshold: exact, by a
+"""Documents whose sets of word n-grams have a Jaccard similarity of at least a threshold, all of them and exactly, by a
 size-aware heavy-light join.
 
 1. Inverted lists over all n-grams, in packed form: an n-gram of one document only joins nothing and is dropped, and what is
    left of a document, its shared n-grams, goes back to it. A partner needs at least threshold * |A| of A's n-grams, so a
    document with fewer shared n-grams than that is dropped too: an exact filter, linear in the input, that leaves little but
-   copies. Shared n-grams keep their exact document frequency; the global order is rarest first.
-2. Linking. Small sets enumerate subsets of `subset` n-grams of their prefix (two similar sets share their first `subset`
-   common n-grams, which lie in the first |A| - ceil(threshold |A|) + subset of A's); large sets, and small ones that can
-   match large ones, scan the inverted lists of their prefix. The size at which a set is large minimises the cost measured on
-   all sets: subsets enumerated against list entries scanned. A list or subset links its sets in a chain by size, where sizes
-   are compatible: linear in its length, whatever the number of pairs.
+   copies. Shared n-grams keep their document frequency; the global order is rarest first. Heavy n-grams, those whose list
+   would be much longer than a bucket, are counted before, partially in each task, and known to every task by a table of
+   bounded size: their entries go straight back to their documents, so no list of theirs is ever gathered.
+2. Documents with the same shared n-grams and size are one class and take part once. Small sets enumerate subsets of `subset`
+   n-grams of their prefix (two similar sets share their first `subset` common n-grams, which lie in the first
+   |A| - ceil(threshold |A|) + subset of A's); large sets, and small ones that can match large ones, scan the inverted lists of
+   their prefix. The size at which a set is large minimises the cost measured on all sets: subsets enumerated against list
+   entries scanned. A list or subset links its sets in a chain by size, where sizes are compatible: linear in its length,
+   whatever the number of pairs; sets of equal size are linked in the task that enumerates them, so that a list has an entry
+   for each size and task.
 3. The linked components hold all pairs. Each is joined by scanning the inverted lists of its sets with exact counts; a large
-   component is split into blocks of probing sets. Sets that are equal are joined once and expanded.
+   component is split into blocks of probing sets. Copies aren't expanded: a class counts with its number of documents.
 
 A word is a run of ASCII letters, digits and non-ASCII characters; ASCII letters count as lower case. A text with fewer than n
-words, but some, has one n-gram, its words. Defined results: a null or empty text, or one without a word, matches nothing; a
-null doc_id isn't a document; a repeated row counts once; rows that share a doc_id but not their text are compared as
-documents of their own under that id, never with each other. Other columns are ignored.
+words, but some, has one n-gram, its words. N-grams, documents and classes are told apart by hashes of 52 to 64 bits. Defined
+results: a null or empty text, or one without a word, matches nothing; a null doc_id isn't a document; a repeated row counts
+once; rows that share a doc_id but not their text are documents of their own. Other columns are ignored, and kept by
+`without_near_duplicates`.
 """
 
 from __future__ import annotations
@@ -33,11 +38,14 @@ from pyspark.sql import functions as F
 from . import _exchange as X
 from ._text import ALNUM, U64, combine, groups, mix, rolling, sets, span_hash, strings, words
 
-N, THRESHOLD, SUBSET = 4, 0.5, 2
+N, THRESHOLD, SUBSET, BLOCK = 4, 0.5, 2, 4096
 _NAME = U64((1 << 56) - 1)
 _SHIP = 16  # what sending a key costs, in list entries scanned
 _FLUSH = 1_000_000
-_DOC = np.dtype([("id", "<i8"), ("n", "<u4"), ("check", "<u4")])
+#: A document: doc_id, number of n-grams, hash of its text.
+_DOC = np.dtype([("id", "<i8"), ("n", "<u4"), ("check", "<i8")])
+#: A class of equal sets: its name, number of n-grams.
+_NODE = np.dtype([("id", "<i8"), ("n", "<u4")])
 
 
 def ngram_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +71,12 @@ def ngram_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarra
 
 
 def _uid(docs: np.ndarray) -> np.ndarray:
-    return combine([docs["id"].astype(np.uint64), docs["n"].astype(np.uint64), docs["check"].astype(np.uint64)])
+    return combine([docs["id"].view(np.uint64) if docs["id"].flags.c_contiguous else docs["id"].astype(np.uint64), docs["n"].astype(np.uint64), docs["check"].astype(np.uint64)])
+
+
+def _classes(df: np.ndarray) -> np.ndarray:
+    """The first key of the order: frequency in eighths of an octave, above a name of 56 bits."""
+    return (8 * np.log2(df)).astype(np.uint64) << U64(56)
 
 
 def _send(keys: np.ndarray, refs: np.ndarray, docs: np.ndarray, n: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
@@ -78,6 +91,8 @@ def _send(keys: np.ndarray, refs: np.ndarray, docs: np.ndarray, n: int) -> Itera
 
 _SENT = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("refs", pa.binary()), ("docs", pa.binary())])
 _SENT_SQL = "bucket int, keys binary, refs binary, docs binary"
+#: Marks of rows that hold no list entries: what goes straight to a document's bucket, and links found within a task.
+_DIRECT, _LINKS = b"D", b"L"
 
 
 def _batches(sent: Iterator[tuple[int, bytes, bytes, bytes]], most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
@@ -93,19 +108,35 @@ def _batches(sent: Iterator[tuple[int, bytes, bytes, bytes]], most: int = 16 <<
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _SENT)], schema=_SENT)
 
 
-def _received(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, references, documents) of a bucket."""
-    keys, refs, docs, at = [], [], [], 0
+def _received(table: pa.Table, kind: np.dtype, mark: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[bytes, bytes, bytes]]]:
+    """(keys, references, documents) of a bucket, and its rows that bear the mark."""
+    keys, refs, docs, marked, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, kind)], [], 0
     for k, r, d in zip(table["keys"], table["refs"], table["docs"]):
+        r = r.as_py()
+        if r[:1] == mark:
+            marked.append((k.as_py(), r[1:], d.as_py()))
+            continue
         keys.append(X.unpack_keys(k.as_py()))
-        r, d = r.as_py(), np.frombuffer(d.as_py(), _DOC)
+        d = np.frombuffer(d.as_py(), kind)
         refs.append(np.frombuffer(r[1:], np.dtype(r[:1].decode())).astype(np.int64) + at)
         docs.append(d)
         at += len(d)
-    return np.concatenate(keys), np.concatenate(refs), np.concatenate(docs)
+    return np.concatenate(keys), np.concatenate(refs), np.concatenate(docs), marked
+
+
+def _names(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            data, offsets, _ = strings(batch.column(0))
+            for i, j in groups(offsets):
+                yield ngram_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)[0]
+
+    return run
 
 
-def _scatter(n: int, buckets: int):
+def _scatter(n: int, buckets: int, heavy: np.ndarray):
+    flush_at = max(_FLUSH, min(8 * _FLUSH, 16 * buckets))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = rows = 0
@@ -117,71 +148,82 @@ def _scatter(n: int, buckets: int):
                 refs.append(r + at)
                 docs.append(d)
                 at += len(d)
-            return _batches(_send(np.concatenate(keys), np.concatenate(refs), np.concatenate(docs), buckets))
+            keys, refs, docs = np.concatenate(keys), np.concatenate(refs), np.concatenate(docs)
+            where = X.places(keys, heavy)
+            known = where >= 0
+            yield from _batches(_send(keys[~known], refs[~known], docs, buckets))
+            if known.any():
+                entry = _classes(heavy["count"][where[known]]) | (keys[known] >> U64(8))
+                rows = ((t, e, _DIRECT + c, d) for t, d, c, e in _packs(entry, refs[known], docs, buckets))
+                yield from _batches(rows)
 
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, check = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             data, offsets, _ = strings(batch.column(1))
             for i, j in groups(offsets):
                 names, at = ngram_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)
                 count = np.diff(at)
-                row = np.repeat(np.arange(j - i), count)
                 docs = np.zeros(j - i, _DOC)
-                docs["id"], docs["n"] = ids[i:j], count
-                if len(names):
-                    has = np.flatnonzero(count)
-                    docs["check"][has] = np.bitwise_xor.reduceat(mix(names), at[has]) >> U64(32)
-                held.append((names, row, docs))
+                docs["id"], docs["n"], docs["check"] = ids[i:j], count, check[i:j]
+                held.append((names, np.repeat(np.arange(j - i), count), docs))
                 size += len(names)
                 rows += j - i
-                if size > _FLUSH or rows > 50_000:
+                if size > flush_at or rows > 50_000:
                     if size:
                         yield from flush()
                     held, size, rows = [], 0, 0
         if size:
             yield from flush()
+        held = []
+        X.trim()
 
     return run
 
 
+def _packs(entry: np.ndarray, refs: np.ndarray, docs: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """(bucket of the documents, documents, counts, entries) of entries with references to documents."""
+    to = X.bucket_of(_uid(docs), buckets)
+    rank = np.argsort(to, kind="stable")
+    place = np.empty(len(docs), np.int64)
+    place[rank] = np.arange(len(docs))
+    where = place[refs]
+    order = np.argsort(where, kind="stable")
+    entry, where, docs, to = entry[order], where[order], docs[rank], to[rank]
+    count = np.bincount(where, minlength=len(docs))
+    ends = np.concatenate(([0], np.cumsum(count)))
+    for t, i, j in X.slices(to):
+        used = np.flatnonzero(count[i:j]) + i
+        if len(used):
+            yield t, docs[used].tobytes(), count[used].astype(np.uint32).tobytes(), entry[ends[i] : ends[j]].tobytes()
+
+
 _PACK = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
+_PACK_SQL = "bucket int, docs binary, counts binary, keys binary"
 
 
-def _shared(buckets: int, doc_buckets: int):
+def _shared(buckets: int):
     """Drop n-grams of one document; give the others, with their frequency, back to the documents' buckets."""
+    bits = U64(buckets.bit_length() - 1)
 
     def run(table: pa.Table) -> pa.Table:
         b = table["bucket"][0].as_py()
-        keys, refs, docs = _received(table)
-        order = np.argsort(keys, kind="stable")
-        keys, refs = keys[order], refs[order]
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        df = np.diff(np.append(first, len(keys)))
-        keep = np.repeat(df >= 2, df)
-        name = (U64(b) << U64(X.BITS)) | keys[keep]
-        entry = (np.repeat((8 * np.log2(df)).astype(np.uint64), df)[keep] << U64(56)) | name  # frequency in eighths of an octave
-        refs = refs[keep]
-        to = X.doc_bucket(docs["id"], doc_buckets)
-        rank = np.argsort(to, kind="stable")
-        place = np.empty(len(docs), np.int64)
-        place[rank] = np.arange(len(docs))
-        order = np.argsort(place[refs], kind="stable")
-        entry, where = entry[order], place[refs][order]
-        docs, to = docs[rank], to[rank]
-        count = np.bincount(where, minlength=len(docs))
-        ends = np.concatenate(([0], np.cumsum(count)))
-        rows = []
-        for t, i, j in X.slices(to):
-            used = np.flatnonzero(count[i:j]) + i
-            if len(used):
-                rows.append((t, docs[used].tobytes(), count[used].astype(np.uint32).tobytes(), entry[ends[i] : ends[j]].tobytes()))
+        keys, refs, docs, direct = _received(table, _DOC, _DIRECT)
+        rows = [(b, d, c, k) for k, c, d in direct]
+        if len(keys):
+            order = np.argsort(keys, kind="stable")
+            keys, refs = keys[order], refs[order]
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            df = np.diff(np.append(first, len(keys)))
+            keep = np.repeat(df >= 2, df)
+            name = ((U64(b) << (U64(64) - bits)) | ((keys[keep] << U64(64 - X.BITS)) >> bits)) >> U64(8)
+            rows += _packs(np.repeat(_classes(df), df)[keep] | name, refs[keep], docs, buckets)
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_PACK)], schema=_PACK)
 
     return run
 
 
-_SETS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("keys", pa.binary())])
-_SETS_SQL = "uid bigint, doc_id bigint, n int, keys binary"
+_SETS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("check", pa.int64()), ("copies", pa.int32()), ("n", pa.int32()), ("size", pa.int32()), ("node", pa.int64()), ("keys", pa.binary())])
+_SETS_SQL = "uid bigint, doc_id bigint, check bigint, copies int, n int, size int, node bigint, keys binary"
 
 
 def _gather(threshold: float):
@@ -198,26 +240,32 @@ def _gather(threshold: float):
         one = np.zeros(len(uid), _DOC)
         one[inverse] = docs
         ends = np.searchsorted(owner, np.arange(len(uid) + 1))
-        out = [], [], [], []
+        out = [[] for _ in _SETS]
         for i in np.flatnonzero(np.diff(ends) >= np.ceil(threshold * one["n"] - 1e-9)):
             s = np.sort(keys[ends[i] : ends[i + 1]])
-            s = s[np.concatenate(([True], s[1:] != s[:-1]))]  # a repeated row counts once
+            new = np.concatenate(([True], s[1:] != s[:-1]))
+            copies = len(s) // max(1, int(new.sum()))  # a repeated row has every n-gram again
+            s = s[new]
             n = int(one["n"][i])
             if len(s) >= math.ceil(threshold * n - 1e-9):
-                for c, x in zip(out, (int(uid[i].view(np.int64)), int(one["id"][i]), n, s.tobytes())):
+                node = mix(mix(s).sum(dtype=np.uint64)[None] + U64(n))[0]
+                for c, x in zip(out, (int(uid[i].view(np.int64)), int(one["id"][i]), int(one["check"][i]), copies, n, len(s), int(node.view(np.int64)), s.tobytes())):
                     c.append(x)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, _SETS)], schema=_SETS)
 
     return run
 
 
-def shared_sets(docs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """Step 1, written to the shared folder: (uid, doc_id, n, keys) of each document that may have a partner."""
-    docs = docs.select(F.col("doc_id").cast("bigint"), "text").where("doc_id is not null and text is not null")
+def shared_sets(docs: DataFrame, n: int, threshold: float, heavy: int = 4096) -> DataFrame:
+    """Step 1, written to the shared folder: (uid, doc_id, check, copies, n, size, node, keys) of each document that may have a
+    partner. heavy: how often an n-gram must occur, at least, to be a heavy one."""
+    docs = docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("check")).where("doc_id is not null and text is not null")
+    docs = X.rereadable(docs)
     b = X.buckets(docs)
-    sent = docs.mapInArrow(_scatter(n, b), _SENT_SQL)
-    back = sent.groupBy("bucket").applyInArrow(_shared(b, b), "bucket int, docs binary, counts binary, keys binary")
-    return X.written(back.groupBy("bucket").applyInArrow(_gather(threshold), _SETS_SQL), "shared-ngrams")
+    often = X.heavy_keys(docs.select("text").mapInArrow(X.count_frequent(_names(n), b, often=min(8, heavy)), X.COUNTED), b, heavy)
+    sent = docs.mapInArrow(_scatter(n, b, often), _SENT_SQL)
+    back = X.by_bucket(sent, b, _shared(b), _PACK_SQL)
+    return X.written(X.by_bucket(back, b, _gather(threshold), _SETS_SQL), "shared-ngrams")
 
 
 def _prefix(n: int, size: int, threshold: float, more: int) -> int:
@@ -258,57 +306,55 @@ def _costs(threshold: float, subset: int):
 
 
 def _link_keys(threshold: float, subset: int, x: int, buckets: int):
-    """Subset and single keys of each set, packed by bucket."""
+    """Subset and single keys of each set, packed by bucket; of the sets of a task that have a key and size in common, one is
+    sent and the others are linked to it."""
+
+    def sent(names: list[np.ndarray], refs: list[np.ndarray], nodes: np.ndarray) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+        keys, at = np.concatenate(names), np.concatenate(refs)
+        order = np.lexsort((nodes["n"][at], keys))
+        keys, at = keys[order], at[order]
+        same = (keys[1:] == keys[:-1]) & (nodes["n"][at[1:]] == nodes["n"][at[:-1]])
+        root = X.forest(at[:-1][same], at[1:][same], len(nodes))
+        linked = np.flatnonzero(root != np.arange(len(nodes)))
+        if len(linked):
+            yield int(linked[0]) % buckets, nodes["id"][linked].tobytes(), _LINKS, nodes["id"][root[linked]].tobytes()
+        first = np.concatenate(([True], ~same))
+        yield from _send(keys[first], at[first], nodes, buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uid, _, n, keys = (batch.column(i) for i in range(4))
-            docs = np.zeros(len(batch), _DOC)
-            docs["id"], docs["n"] = uid.to_numpy(), n.to_numpy()
+            node, n, keys = (batch.column(i) for i in range(3))
+            _, first = np.unique(node.to_numpy(), return_index=True)
+            nodes = np.zeros(len(batch), _NODE)
+            nodes["id"], nodes["n"] = node.to_numpy(), n.to_numpy()
             names, refs, held = [], [], 0
-            for i, (size, blob) in enumerate(zip(n.to_pylist(), keys)):
-                s = np.frombuffer(blob.as_py(), np.uint64)
+            for i in np.sort(first).tolist():
+                size, s = int(nodes["n"][i]), np.frombuffer(keys[i].as_py(), np.uint64)
+                before = len(names)
                 if size <= x:
                     p = s[: _prefix(size, len(s), threshold, subset)]
                     if len(p) >= subset:
                         grid = np.stack(np.triu_indices(len(p), 1)) if subset == 2 else np.array([*combinations(range(len(p)), subset)]).T
                         names.append(combine([p[g] for g in grid]))
-                        refs.append(np.full(grid.shape[1], i, np.int32))
+                        refs.append(np.full(grid.shape[1], i, np.int64))
                 if size > x or size >= threshold * (x + 1) or size < subset * (1 + threshold) / threshold:
                     p = s[: _prefix(size, len(s), threshold, 1)]
                     names.append(mix(p.copy()))
-                    refs.append(np.full(len(p), i, np.int32))
-                held = held + len(names[-1]) if names else 0
+                    refs.append(np.full(len(p), i, np.int64))
+                held += sum(map(len, names[before:]))
                 if held > _FLUSH // 4:
-                    yield from _batches(_send(np.concatenate(names), np.concatenate(refs), docs, buckets))
+                    yield from _batches(sent(names, refs, nodes))
                     names, refs, held = [], [], 0
-            if names and sum(map(len, names)):
-                yield from _batches(_send(np.concatenate(names), np.concatenate(refs), docs, buckets))
+            if held:
+                yield from _batches(sent(names, refs, nodes))
+        X.trim()
 
     return run
 
 
-def _forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
-    """The least node of each node's component."""
-    root = np.arange(n)
-    while len(u):
-        a, b = root[u], root[v]
-        live = a != b
-        u, v, a, b = u[live], v[live], a[live], b[live]
-        if not len(u):
-            break
-        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            up = root[root]
-            if (up == root).all():
-                break
-            root = up
-    return root
-
-
 def _chain(threshold: float):
     def run(table: pa.Table) -> pa.Table:
-        keys, refs, docs = _received(table)
+        keys, refs, docs, linked = _received(table, _NODE, _LINKS)
         node, inverse = np.unique(docs["id"], return_inverse=True)
         size = np.zeros(len(node), np.int64)
         size[inverse] = docs["n"]
@@ -316,9 +362,11 @@ def _chain(threshold: float):
         order = np.lexsort((refs, size[refs], keys))
         keys, refs = keys[order], refs[order]
         near = (keys[1:] == keys[:-1]) & (size[refs[:-1]] >= threshold * size[refs[1:]] - 1e-9) & (refs[1:] != refs[:-1])
-        root = _forest(refs[:-1][near], refs[1:][near], len(node))
+        root = X.forest(refs[:-1][near], refs[1:][near], len(node))
         at = np.flatnonzero(root != np.arange(len(node)))
-        return pa.table({"u": node[at], "v": node[root[at]]}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+        u = np.concatenate([node[at], *(np.frombuffer(k, np.int64) for k, _, _ in linked)])
+        v = np.concatenate([node[root[at]], *(np.frombuffer(d, np.int64) for _, _, d in linked)])
+        return pa.table({"u": u, "v": v}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 
     return run
 
@@ -349,98 +397,140 @@ def _similar(sets_: list[np.ndarray], n: np.ndarray, probe: np.ndarray, threshol
     return tuple(np.concatenate(x) if x else np.zeros(0) for x in out)
 
 
-_PAIRS = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("jaccard", pa.float64())])
+_FOUND = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("links", pa.int64()), ("jaccard", pa.float64())])
+_FOUND_SQL = "u bigint, v bigint, links bigint, jaccard double"
 
 
-def _joined(threshold: float, forest: bool):
-    """Pairs of each component in a bucket; with forest, only a spanning forest of them."""
+def _joined(threshold: float, pairs: bool):
+    """Of each component in a bucket: (u, null, links) for each probing class, the documents in classes similar to it, and
+    (u, v, jaccard) for every pair of classes, or, without pairs, for a spanning forest of them."""
 
     def run(table: pa.Table) -> pa.Table:
-        comp, uid, doc = (table[c].to_numpy() for c in ("root", "uid", "doc_id"))
+        comp, node, weight = (table[c].to_numpy() for c in ("root", "node", "weight"))
         n, probe, part = table["n"].to_numpy().astype(np.int64), table["probe"].to_numpy(), table["part"].to_numpy()
         blobs = table["keys"].combine_chunks() if table["keys"].num_chunks != 1 else table["keys"].chunk(0)
-        order = np.lexsort((uid, part, comp))
-        a, b, score = [], [], []
+        order = np.lexsort((node, part, comp))
+        u, v, links, score = [], [], [], []
         group = np.flatnonzero(np.concatenate(([True], (comp[order][1:] != comp[order][:-1]) | (part[order][1:] != part[order][:-1]))))
         for lo, hi in zip(group, np.append(group[1:], len(order))):
             own = order[lo:hi]
-            classes: dict[tuple, int] = {}
-            which = np.empty(len(own), np.int64)
-            some: list[np.ndarray] = []
-            for k, r in enumerate(own):
-                key = (int(n[r]), blobs[int(r)].as_py())
-                c = classes.setdefault(key, len(some))
-                if c == len(some):
-                    some.append(np.frombuffer(key[1], np.uint64) & _NAME)
-                which[k] = c
-            m = len(some)
-            size, probes = np.zeros(m, np.int64), np.zeros(m, bool)
-            size[which] = n[own]
-            np.logical_or.at(probes, which, probe[own])
-            by = np.argsort(which, kind="stable")
-            start = np.searchsorted(which[by], np.arange(m + 1))
-            i, j, s = _similar(some, size, probes, threshold) if m > 1 else (np.zeros(0, np.int64),) * 3
-            ids, asks = doc[own], probe[own]
-            members = [by[start[c] : start[c + 1]] for c in range(m)]
-            same = [c for c in range(m) if len(members[c]) > 1 and len(some[c]) / (2 * size[c] - len(some[c])) >= threshold]
-            if forest:
-                heads = np.array([ids[x].min() for x in members])
-                i, j = i.astype(np.int64), j.astype(np.int64)
-                for c in {*same, *i.tolist(), *j.tolist()}:  # equal sets have the same partners
-                    a.append(np.full(len(members[c]), heads[c]))
-                    b.append(ids[members[c]])
-                a.append(heads[_forest(i, j, m)])
-                b.append(heads)
+            m, name, w, asks = len(own), node[own], weight[own], probe[own]
+            if m < 2:
+                continue
+            i, j, s = _similar([np.frombuffer(blobs[int(r)].as_py(), np.uint64) & _NAME for r in own], n[own], asks, threshold)
+            i, j = i.astype(np.int64), j.astype(np.int64)
+            if not len(i):
                 continue
-            for c in same:
-                x, y = np.triu_indices(len(members[c]), 1)
-                x, y = members[c][x], members[c][y]
-                mine = asks[x]  # with blocks, a pair belongs to the block of its lesser uid
-                a.append(ids[x[mine]])
-                b.append(ids[y[mine]])
-                score.append(np.full(mine.sum(), len(some[c]) / (2 * size[c] - len(some[c]))))
-            for p, q, value in zip(i.astype(np.int64).tolist(), j.astype(np.int64).tolist(), s.tolist()):
-                x, y = np.repeat(members[p], len(members[q])), np.tile(members[q], len(members[p]))
-                mine = asks[np.minimum(x, y)]
-                a.append(ids[x[mine]])
-                b.append(ids[y[mine]])
-                score.append(np.full(mine.sum(), value))
-        a = np.concatenate(a) if a else np.zeros(0, np.int64)
-        b = np.concatenate(b) if b else np.zeros(0, np.int64)
-        score = np.zeros(len(a)) if forest else np.concatenate(score) if score else np.zeros(0)
-        keep = a != b
-        return pa.table({"doc_a": np.minimum(a, b)[keep], "doc_b": np.maximum(a, b)[keep], "jaccard": score[keep]}, schema=_PAIRS)
+            back = asks[j]  # a pair of two probing classes is found once
+            found = np.bincount(np.concatenate([i, j[back]]), weights=np.concatenate([w[j], w[i[back]]]), minlength=m).astype(np.int64)
+            at = np.flatnonzero(found)
+            u.append(name[at])
+            v.append(np.full(len(at), -1))
+            links.append(found[at])
+            score.append(np.zeros(len(at)))
+            if pairs:
+                mine = back | (i < j)  # with blocks, a pair belongs to the block of its lesser class
+                a, b, s = name[i[mine]], name[j[mine]], s[mine]
+            else:
+                root = X.forest(i, j, m)
+                at = np.flatnonzero(root != np.arange(m))
+                a, b, s = name[at], name[root[at]], np.zeros(len(at))
+            u.append(a)
+            v.append(b)
+            links.append(np.full(len(a), -1))
+            score.append(s)
+        u, v, links, score = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((u, np.int64), (v, np.int64), (links, np.int64), (score, float)))
+        none = links >= 0
+        return pa.table({"u": u, "v": pa.array(v, mask=none), "links": pa.array(links, mask=~none), "jaccard": pa.array(score, mask=none)}, schema=_FOUND)
 
     return run
 
 
-def _candidates(docs: DataFrame, n: int, threshold: float, subset: int, block: int) -> DataFrame:
-    """Sets with their component, and for a large component a row for each of its blocks."""
+def _join(docs: DataFrame, n: int, threshold: float, subset: int, block: int, heavy: int, pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sets, classes, found), written: of shared_sets; (class, rep, docs, first, n, size); of _joined."""
     spark = docs.sparkSession
-    some = shared_sets(docs, n, threshold)
+    some = shared_sets(docs, n, threshold, heavy)
     X.release(spark)
     costs = some.select("n", "keys").mapInArrow(_costs(threshold, subset), "n int, subsets double, scans double")
     x = boundary(costs.groupBy("n").agg(F.sum("subsets").alias("subsets"), F.sum("scans").alias("scans")), threshold, subset)
     b = X.buckets(some)
-    links = some.mapInArrow(_link_keys(threshold, subset, x, b), _SENT_SQL).groupBy("bucket").applyInArrow(_chain(threshold), "u bigint, v bigint")
+    links = X.by_bucket(some.select("node", "n", "keys").mapInArrow(_link_keys(threshold, subset, x, b), _SENT_SQL), b, _chain(threshold), "u bigint, v bigint")
     roots = X.components(links)
     roots = X.written(roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct(), "roots")
-    large = roots.groupBy("root").count().where(F.col("count") > block).select(F.col("root").alias("__root"), F.ceil(F.col("count") / block).cast("int").alias("parts"))
-    blocks = roots.join(large, F.col("root") == F.col("__root"), "left").select("node", "root", F.coalesce("parts", F.lit(1)).alias("parts"))
-    rows = some.join(blocks, some["uid"] == F.col("node")).drop("node")
+    classes = X.written(some.groupBy(F.col("node").alias("class")).agg(F.min("uid").alias("rep"), F.count("*").alias("docs"), F.min("doc_id").alias("first"), F.min("n").alias("n"), F.min("size").alias("size")), "classes")
+    parts = roots.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    asked = roots.join(parts, "root").join(classes, F.col("node") == F.col("class")).select("rep", "root", "parts", F.col("docs").alias("weight"))
+    rows = some.select("uid", "node", "n", "keys").join(asked, F.col("uid") == F.col("rep")).drop("rep", "uid")
     rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.withColumn("probe", F.pmod(F.xxhash64("uid"), F.col("parts")) == F.col("part")).drop("parts")
-    return rows.withColumn("to", F.pmod(F.xxhash64("root", "part"), F.lit(4 * b)).cast("int"))
+    rows = rows.withColumn("probe", F.pmod(F.xxhash64("node"), F.col("parts")) == F.col("part")).drop("parts")
+    rows = rows.withColumn("to", F.pmod(F.xxhash64("root", "part"), F.lit(4 * b)).cast("int"))
+    return some, classes, X.written(X.by_bucket(rows, 4 * b, _joined(threshold, pairs), _FOUND_SQL, "to"), "similar")
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, subset: int = SUBSET, block: int = 4096) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b, of all pairs at or above the threshold; docs has doc_id and text."""
-    rows = _candidates(docs, n, threshold, subset, block)
-    return rows.groupBy("to").applyInArrow(_joined(threshold, False), "doc_a bigint, doc_b bigint, jaccard double")
+def _self_similar(threshold: float):
+    """Whether the documents of a class are similar to each other: all of their n-grams may be shared with others only."""
+    return F.col("size") / (2 * F.col("n") - F.col("size")) >= threshold
 
 
-def near_duplicate_groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, subset: int = SUBSET, block: int = 4096) -> DataFrame:
-    """(doc_id, keep) for each document of a group that the pairs connect, other than the one that stays: the least doc_id."""
-    rows = _candidates(docs, n, threshold, subset, block)
-    edges = rows.groupBy("to").applyInArrow(_joined(threshold, True), "doc_a bigint, doc_b bigint, jaccard double")
-    return X.components(edges.select(F.col("doc_a").alias("u"), F.col("doc_b").alias("v"))).select(F.col("node").alias("doc_id"), F.col("root").alias("keep"))
+def _groups(classes: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """(class, root, copies, links) of the classes with a similar document: root names the connected group."""
+    edges = found.where("v is not null").select("u", "v")
+    roots = X.components(edges)
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
+    links = found.where("v is null").groupBy("u").agg(F.sum("links").alias("links"))
+    rows = classes.join(links, F.col("class") == F.col("u"), "left").join(roots, F.col("class") == F.col("node"), "left")
+    same = F.when(_self_similar(threshold), F.col("docs") - 1).otherwise(0)
+    rows = rows.select("class", F.coalesce("root", "class").alias("root"), "n", "size", "first", (same + F.coalesce("links", F.lit(0))).alias("links"))
+    return rows.where("links > 0")
+
+
+def ngram_links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, subset: int = SUBSET, block: int = BLOCK, heavy: int = 4096) -> DataFrame:
+    """(doc_id, class_id, n_links, copy_id) of every document that is similar to another one; docs has doc_id and text.
+
+    n_links: the number of other documents at or above the threshold, copies among them. class_id: the least doc_id of the
+    documents that such links connect. copy_id: the least doc_id of those with the same set of n-grams, of which not all links
+    need be listed, for they have the same ones. A document without a row has no link and is a class of its own.
+    """
+    some, classes, found = _join(docs, n, threshold, subset, block, heavy, False)
+    groups = X.written(_groups(classes, found, threshold), "groups")
+    least = groups.groupBy("root").agg(F.min("first").alias("class_id"))
+    rows = some.select("doc_id", "node", "n", "size").join(groups.join(least, "root").select("class", "class_id", "links", "first"), F.col("node") == F.col("class"))
+    copy = F.when(F.col("n") == F.col("size"), F.col("first")).otherwise(F.col("doc_id"))
+    return rows.select("doc_id", "class_id", F.col("links").alias("n_links"), copy.alias("copy_id"))
+
+
+def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, subset: int = SUBSET, block: int = BLOCK, heavy: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): (class_a, class_b, jaccard), class_a < class_b, of all pairs of classes at or above the threshold, and
+    (doc_id, class, within): the class of each document, and the similarity of its documents to each other (null if they aren't
+    similar). A pair of documents is similar if their classes are, or if they are in a class that is similar within."""
+    some, classes, found = _join(docs, n, threshold, subset, block, heavy, True)
+    pairs = found.where("v is not null").select(F.least("u", "v").alias("class_a"), F.greatest("u", "v").alias("class_b"), "jaccard")
+    within = F.when(_self_similar(threshold), F.col("size") / (2 * F.col("n") - F.col("size")))
+    return pairs, some.select("doc_id", F.col("node").alias("class"), within.alias("within"))
+
+
+def near_duplicate_groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, subset: int = SUBSET, block: int = BLOCK, heavy: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """(groups, repeated): (doc_id, check, keep, keep_check) for each document of a group that links connect, check being
+    xxhash64 of its text and keep the least (doc_id, check) of the group; (doc_id, check) of rows that come more than once."""
+    some, classes, found = _join(docs, n, threshold, subset, block, heavy, False)
+    groups = _groups(classes, found, threshold).select("class", "root")
+    rows = X.written(some.select("doc_id", "check", "node").join(groups, F.col("node") == F.col("class")).select("doc_id", "check", "root"), "grouped")
+    least = rows.groupBy("root").agg(F.min(F.struct("doc_id", "check")).alias("least"))
+    return rows.join(least, "root").select("doc_id", "check", F.col("least.doc_id").alias("keep"), F.col("least.check").alias("keep_check")), some.where("copies > 1").select("doc_id", "check")
+
+
+def without_near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, subset: int = SUBSET, block: int = BLOCK, heavy: int = 4096) -> DataFrame:
+    """The documents, all columns, but of each group of near duplicates only the one with the least doc_id.
+
+    Rows that share a doc_id are told apart by their text; a repeated row (the same doc_id and text) stays once at most if it has
+    a similar document or another n-gram that others share. Rows without an id or text stay.
+    """
+    groups, repeated = near_duplicate_groups(docs, n, threshold, subset, block, heavy)
+    key = lambda df: [df["doc_id"].cast("bigint"), F.xxhash64(df["text"])]
+    kept = X.without(docs, key(docs), groups.where("doc_id <> keep or check <> keep_check").select("doc_id", "check"))
+    again = X.written(repeated, "repeated")
+    if again.limit(1).count():
+        a, b = X.free(docs, "__a"), X.free(docs, "__b")
+        twice = kept.join(again.toDF(a, b), (key(kept)[0] == F.col(a)) & (key(kept)[1] == F.col(b)), "left_semi")
+        kept = X.without(kept, key(kept), again).unionByName(twice.dropDuplicates(["doc_id", "text"]))
+    return kept

@@ -47,24 +47,45 @@ def vectors(spark, n, d=12, seed=0):
     return x, spark.createDataFrame([(i, v.tolist(), 0, 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int, id int")
 
 
-def brute(x, k):
+def brute(x, k, queries=None):
     d = ((x[:, None] - x[None]) ** 2).sum(-1)
     np.fill_diagonal(d, np.inf)
-    return {i: [int(j) for j in np.lexsort((np.arange(len(x)), d[i]))[:k]] for i in range(len(x))}
+    return {i: [int(j) for j in np.lexsort((np.arange(len(x)), d[i]))[:k]] for i in (range(len(x)) if queries is None else queries)}
+
+
+def found_by(df):
+    got = {}
+    for r in df.orderBy("vec_id", "rank").collect():
+        got.setdefault(r.vec_id, []).append(r.neighbor_id)
+    return got
 
 
 @pytest.mark.parametrize("shard_rows", [10_000, 60])
 def test_knn(spark, shard_rows):
     x, df = vectors(spark, 400)
-    got = {}
-    for r in kd_search.knn(df, 5, shard_rows=shard_rows).orderBy("vec_id", "rank").collect():
-        got.setdefault(r.vec_id, []).append(r.neighbor_id)
-    assert got == brute(x, 5)
+    assert found_by(kd_search.knn(df, 5, shard_rows=shard_rows)) == brute(x, 5)
+    asked = [i for i in range(400) if i % 20 == 0]
+    assert found_by(kd_search.knn(df, 5, F.col("vec_id") % 20 == 0, shard_rows=shard_rows)) == brute(x, 5, asked)
+
+
+def test_knn_of_equal_vectors(spark):
+    """A third of all vectors is one point, more than a shard has room for, and another third has two coordinates in common."""
+    x = np.random.default_rng(3).normal(size=(300, 4)).round(1)
+    x[::3] = [1.0, 2.0, 0.0, 0.0]
+    x[1::3, :2] = 0.5
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = brute(x, 5)
+    assert found_by(kd_search.knn(df, 5, shard_rows=20)) == want
+    got = found_by(hnsw.ann(df, 5, shard_rows=100))
+    dist = lambda i, j: float(((x[i] - x[j]) ** 2).sum())
+    assert sum(dist(i, a) == dist(i, b) for i in want for a, b in zip(got[i], want[i])) / (5 * len(x)) >= 0.9
+    assert all(got[i] == want[i] for i in range(0, 300, 3))
 
 
 def test_search_edges(spark):
     kind = "vec_id long, embedding array<double>, label int"
-    rows = [(1, [0.0, 0.0], 0), (1, [0.0, 0.0], 0), (2, [0.0, 0.0], 0), (3, [1.0, None], 0), (None, [1.0, 1.0], 0), (4, None, 0), (5, [], 0), (6, [1.0], 0), (7, [float("nan"), 0.0], 0), (8, [3.0, 4.0], 0)]
+    inf = float("inf")
+    rows = [(1, [0.0, 0.0], 0), (1, [0.0, 0.0], 0), (2, [0.0, -0.0], 0), (3, [1.0, None], 0), (None, [1.0, 1.0], 0), (4, None, 0), (5, [], 0), (6, [1.0], 0), (7, [float("nan"), 0.0], 0), (8, [3.0, 4.0], 0), (9, [inf, 0.0], 0), (10, [0.0, -inf], 0)]
     for search in (kd_search.knn, hnsw.ann):
         got = {(r.vec_id, r.neighbor_id): (r.rank, r.distance) for r in search(spark.createDataFrame(rows, kind)).collect()}
         assert got == {(1, 2): (1, 0.0), (1, 8): (2, 5.0), (2, 1): (1, 0.0), (2, 8): (2, 5.0), (8, 1): (1, 5.0), (8, 2): (2, 5.0)}
@@ -74,11 +95,16 @@ def test_search_edges(spark):
 @pytest.mark.parametrize("shard_rows", [10_000, 300])
 def test_ann_recall(spark, shard_rows):
     x, df = vectors(spark, 1200, 24)
-    want = brute(x, 10)
-    got = {}
-    for r in hnsw.ann(df, shard_rows=shard_rows).collect():
-        got.setdefault(r.vec_id, set()).add(r.neighbor_id)
-    assert sum(len(got[i] & set(want[i])) for i in want) / (10 * len(want)) >= 0.9
+    got, want = found_by(hnsw.ann(df, shard_rows=shard_rows)), brute(x, 10)
+    assert sum(len({*got[i]} & {*want[i]}) for i in want) / (10 * len(want)) >= 0.9
+
+
+def test_ann_recall_on_the_given_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = found_by(hnsw.ann(df, 10, F.col("vec_id") % 20 == 0, shard_rows=700))
+    want = found_by(kd_search.knn(df, 10, F.col("vec_id") % 20 == 0))
+    assert len(want) >= 100 and set(got) == set(want)
+    assert sum(len({*got[i]} & {*want[i]}) for i in want) / (10 * len(want)) >= 0.9
 
 
 # BPE and token counts
@@ -140,37 +166,55 @@ def grams(text, n=4):
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
-@pytest.mark.parametrize("block", [4096, 7])
-def test_ngram_join(spark, block):
-    rng = random.Random(4)
+def near_copies(rng, groups=12):
     texts = []
-    for g in range(12):
+    for _ in range(groups):
         base = prose(rng, rng.choice([3, 12, 40, 300]))
         for _ in range(rng.randrange(1, 14)):
             w = list(base)
             for _ in range(rng.randrange(0, 1 + len(w) // 12)):
                 w[rng.randrange(len(w))] = rng.choice(WORDS)
             texts.append((len(texts), " ".join(w)))
+    return texts
+
+
+def roots_of(nodes, pairs):
+    root = {i: i for i in nodes}
+    for _ in nodes:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+@pytest.mark.parametrize("block,heavy", [(4096, 4096), (7, 3)])
+def test_ngram_join(spark, block, heavy):
+    texts = near_copies(random.Random(4))
     sets = {i: grams(t) for i, t in texts}
     want = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in sets for j in sets if i < j}
     want = {k: v for k, v in want.items() if v >= 0.5}
     df = docs_of(spark, texts)
-    got = [(r.doc_a, r.doc_b, r.jaccard) for r in ngram_join.ngram_jaccard_join(df, block=block).collect()]
-    assert len(got) == len(want) and {(a, b) for a, b, _ in got} == set(want)
-    assert all(abs(want[a, b] - s) < 1e-12 for a, b, s in got)
-    groups = {r.doc_id: r.keep for r in ngram_join.near_duplicate_groups(df, block=block).collect() if r.doc_id != r.keep}
-    root = {i: i for i in sets}
-    for _ in sets:
-        for a, b in want:
-            root[a] = root[b] = min(root[a], root[b])
-    assert groups == {i: r for i, r in root.items() if i != r}
+    root, links = roots_of(sets, want), Counter(i for p in want for i in p)
+    got = ngram_join.ngram_links(df, block=block, heavy=heavy).collect()
+    assert len(got) == len(links)
+    assert {r.doc_id: (r.class_id, r.n_links, r.copy_id) for r in got} == {i: (root[i], n, min(j for j in sets if sets[j] == sets[i])) for i, n in links.items()}
+    pairs, members = ngram_join.ngram_jaccard_join(df, block=block, heavy=heavy)
+    score = {frozenset((r.class_a, r.class_b)): r.jaccard for r in pairs.collect()}
+    assert len(score) == pairs.count()
+    of = {r.doc_id: (r["class"], r.within) for r in members.collect()}
+    found = {(i, j): of[i][1] if of[i][0] == of[j][0] else score.get(frozenset((of[i][0], of[j][0]))) for i in of for j in of if i < j}
+    found = {k: v for k, v in found.items() if v is not None}
+    assert set(found) == set(want) and all(abs(found[k] - want[k]) < 1e-12 for k in want)
+    left = ngram_join.without_near_duplicates(df, block=block, heavy=heavy)
+    assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == sorted(set(root.values()))
 
 
 def test_ngram_join_edges(spark):
-    got = ngram_join.ngram_jaccard_join(hostile(spark).unionByName(hostile(spark).where("doc_id = 7").withColumn("doc_id", F.lit(70).cast("long")))).collect()
-    assert [(r.doc_a, r.doc_b, r.jaccard) for r in got] == [(7, 70, 1.0)]
-    assert ngram_join.ngram_jaccard_join(hostile(spark).where("false")).count() == 0
-    assert ngram_join.near_duplicate_groups(hostile(spark).where("false")).count() == 0
+    df = hostile(spark).unionByName(hostile(spark).where("doc_id = 7").withColumn("doc_id", F.lit(70).cast("long")))
+    got = ngram_join.ngram_links(df).collect()
+    assert [(r.doc_id, r.class_id, r.n_links, r.copy_id) for r in sorted(got)] == [(7, 7, 1, 7), (70, 7, 1, 7)]
+    empty = hostile(spark).where("false")
+    assert ngram_join.ngram_links(empty).count() == 0
+    assert [x.count() for x in (*ngram_join.ngram_jaccard_join(empty), ngram_join.without_near_duplicates(empty))] == [0] * 3
 
 
 # Substring dedup
@@ -194,7 +238,8 @@ def spans_by_hand(texts, length):
     return sorted((i, b - a + length, f) for i, a, b, f in merged)
 
 
-def test_substring_dedup(spark):
+@pytest.mark.parametrize("heavy", [4096, 2])
+def test_substring_dedup(spark, heavy):
     rng = random.Random(5)
     passages = [prose(rng, n) for n in (50, 51, 60, 75, 200)] + [["w1"] * 80, ["w1", "w2"] * 40]
     texts = []
@@ -204,9 +249,9 @@ def test_substring_dedup(spark):
             w += rng.choice(passages) + prose(rng, rng.randrange(0, 30))
         texts.append((i, "  ".join(w) + " "))
     df = docs_of(spark, texts)
-    got = sorted((r.doc_id, r.n_words, r.first_doc_id) for r in substring_dedup.repeated_spans(df).collect())
+    got = sorted((r.doc_id, r.n_words, r.first_doc_id) for r in substring_dedup.repeated_spans(df, heavy=heavy).collect())
     assert got == spans_by_hand(texts, 50)
-    after = {r.doc_id: r for r in substring_dedup.without_repeats(df).collect()}
+    after = {r.doc_id: r for r in substring_dedup.without_repeats(df, heavy=heavy).collect()}
     assert len(after) == len(texts) and all(r.n_chars == len(r.text) for r in after.values())
     left = Counter(tuple(w[k : k + 200]) for r in after.values() for w in [r.text.split()] for k in range(len(w) - 199))
     assert all(v == 1 for v in left.values())

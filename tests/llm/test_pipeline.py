@@ -50,8 +50,17 @@ def test_stages_keep_awkward_rows(spark, tmp_path):
         path = f"{tmp_path}/{name}"
         docs.write.parquet(path + "-in")
         out = stage(spark, spark.read.parquet(path + "-in"), str(tmp_path))
+        n -= name == "ngram_jaccard_join"  # of the row that comes twice one stays
         assert out.count() == n, name
         if k + 1 < len(corpus_pipeline.STAGES):
             assert out.columns == docs.columns
-        out = stage(spark, spark.read.parquet(path + "-in").where("false"), str(tmp_path)) if k else out
-        assert k == 0 or out.count() == 0
+            docs = out
+        none = stage(spark, spark.read.parquet(path + "-in").where("false"), str(tmp_path))
+        assert none.count() == 0, name
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    tables(spark, f"{tmp_path}/full")
+    spark.read.parquet(f"{tmp_path}/full/documents.parquet").where("false").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/full/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
