@@ -5,28 +5,30 @@ is none. Levels are drawn from a hash of the id, geometric with factor ln(M). No
 a limit; a batch searches the graph before it, sees its own members by brute force, takes up to M diverse neighbours (one that
 is nearer to a chosen neighbour than to the node is passed over while there are enough others), and links back, a full list
 keeping its most diverse nearest. Searching descends the upper levels and then widens to `ef` candidates at the bottom; a
-whole batch of queries moves in step, so the work is in numpy. Every vector is a query to every shard's graph, and a query's
-results are merged, nearest first, ties by id.
+whole batch of queries moves in step, so the work is in numpy. Every query goes to every shard's graph, and its results
+are merged, nearest first, ties by id.
 
-Shards are a hash of the id, so that each is a fair sample and none grows beyond `shard_rows` by much. Recall against brute
-force is tested to be at least 0.9 (0.99 on the given tables).
+Shards are a hash of the id, so that each is a fair sample; there are at most `most_shards`, which grow with the table beyond
+that: as searching a graph takes about the logarithm of its size, the work then grows as the number of queries. Of equal
+vectors the k + 1 least ids take part, and equal queries are asked once, as in kd_search. Every row is indexed. Recall against
+brute force is tested to be at least 0.9, on the given table too.
 
-Defined results: as the exact search (kd_search): a row isn't its own neighbour; unusable rows take no part; for rows that
-share an id the least vector counts; a shard of few vectors is searched exhaustively by ef; an empty table gives no rows.
+Defined results: as the exact search (kd_search): `queries` says which rows ask; a row isn't its own neighbour; unusable rows
+take no part; for rows that share an id the least vector counts; a shard of few vectors is searched exhaustively by ef; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame
 
 from . import _exchange as X
 from ._text import U64, mix
-from .kd_search import _SHARD_SQL, matrix, merged, unpack, usable
+from .kd_search import _SHARD_SQL, asked_once, for_every_asker, matrix, merged, met, unpack, usable
 
-K, M, EF_BUILD, EF, SHARD_ROWS = 10, 20, 64, 96, 16_384
+K, M, EF_BUILD, EF, SHARD_ROWS, MOST_SHARDS, ASKED = 10, 20, 64, 96, 16_384, 512, 4096
 
 
 class Graph:
@@ -181,8 +183,8 @@ class Graph:
             rank = np.argsort(d, axis=1, kind="stable")[:, : 2 * width]
             links[nodes[at]] = self._choose(np.take_along_axis(d, rank, 1), np.maximum(np.take_along_axis(near, rank, 1), 0), width)
 
-    def search(self, q: np.ndarray, own: np.ndarray, k: int, ef: int = EF, batch: int = 512) -> tuple[np.ndarray, np.ndarray]:
-        """(squared distances in double precision, ids) of about the k nearest of each query, own ids left out."""
+    def search(self, q: np.ndarray, k: int, ef: int = EF, batch: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """(squared distances in double precision, ids) of about the k nearest of each query."""
         dist, near = np.full((len(q), k), np.inf), np.full((len(q), k), -1, np.int64)
         for b in range(0, len(q), batch):
             x = np.ascontiguousarray(q[b : b + batch], np.float32)
@@ -190,10 +192,10 @@ class Graph:
             d, node = self._descend(x, norm, 0, len(self.x))
             d, node = self._level(x, norm, node, d, 0, max(ef, k + 1), len(self.x))
             ids = self.ids[node]
-            diff = q[b : b + batch, None, :] - self.x[node[:, : 2 * k + 2]].astype(float)
+            diff = q[b : b + batch, None, :].astype(float) - self.x[node[:, : 2 * k + 2]].astype(float)
             exact = np.einsum("ikj,ikj->ik", diff, diff)
             ids = ids[:, : 2 * k + 2]
-            exact[(ids == own[b : b + batch, None]) | ~np.isfinite(d[:, : 2 * k + 2])] = np.inf
+            exact[~np.isfinite(d[:, : 2 * k + 2])] = np.inf
             order = np.lexsort((ids, exact), axis=-1)[:, :k]
             dist[b : b + batch, : order.shape[1]] = np.take_along_axis(exact, order, 1)
             near[b : b + batch, : order.shape[1]] = np.take_along_axis(ids, order, 1)
@@ -201,16 +203,15 @@ class Graph:
 
 
 def _assign(shards: int, d: int, copies: bool):
-    """Vectors packed by shard; with copies, as queries to every shard."""
+    """Vectors packed by shard; with copies, as queries to every shard, in single precision as the graphs have them."""
 
     def run(batches):
         for batch in batches:
             ids, x = batch.column(0).to_numpy(), matrix(batch.column(1), d)
-            to = (mix(ids.astype(np.int64).view(np.uint64) + U64(777)) % U64(shards)).astype(np.int64)
-            rows = []
             if copies:
-                rows = [(s, ids.tobytes(), x.tobytes()) for s in range(shards)]
+                rows = [(s, ids.tobytes(), x.astype(np.float32).tobytes()) for s in range(shards)]
             else:
+                to = (mix(ids.astype(np.int64).view(np.uint64) + U64(777)) % U64(shards)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
                 rows = [(s, ids[order[i:j]].tobytes(), x[order[i:j]].tobytes()) for s, i, j in X.slices(to[order])]
             for row in rows if len(ids) else []:
@@ -253,24 +254,24 @@ def _answer(d: int, k: int, m: int, ef: int):
         if graph.num_rows:
             g = load(graph.to_pylist()[0], d, m)
             for a in asked.to_pylist():
-                q, own = np.frombuffer(a["vecs"], float).reshape(-1, d), np.frombuffer(a["ids"], np.int64)
-                dist, near = g.search(q, own, k, ef)
-                for c, v in zip(out, (own.tobytes(), dist.tobytes(), near.tobytes())):
+                dist, near = g.search(np.frombuffer(a["vecs"], np.float32).reshape(-1, d), k, ef)
+                for c, v in zip(out, (a["ids"], dist.tobytes(), near.tobytes())):
                     c.append(v)
         return pa.table({n: pa.array(c, pa.binary()) for n, c in zip(("ids", "dist", "near"), out)})
 
     return run
 
 
-def ann(vectors: DataFrame, k: int = K, m: int = M, ef_build: int = EF_BUILD, ef: int = EF, shard_rows: int = SHARD_ROWS, query_parts: int = 4, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """(vec_id, rank, neighbor_id, distance): about the k nearest other vectors of each, by Euclidean distance.
+def ann(vectors: DataFrame, k: int = K, queries: Column | None = None, m: int = M, ef_build: int = EF_BUILD, ef: int = EF, shard_rows: int = SHARD_ROWS, most_shards: int = MOST_SHARDS, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+    """(vec_id, rank, neighbor_id, distance): about the k nearest other vectors of each query, by Euclidean distance.
 
-    Graphs are built once, written, and searched by `query_parts` tasks each.
+    Graphs are built once, written, and searched by as many tasks each as the number of queries asks for.
     """
-    rows, d = usable(vectors, id_column, vector_column)
-    shards = max(1, -(-rows.count() // shard_rows))
+    rows, asked, d = usable(vectors, id_column, vector_column, queries, k)
+    once = asked_once(asked)
+    shards = min(most_shards, max(1, -(-rows.count() // shard_rows)))
     graphs = rows.mapInArrow(_assign(shards, d, False), _SHARD_SQL).groupBy("shard").applyInArrow(_build(d, m, ef_build), _GRAPH_SQL)
-    graphs = X.written(graphs, "hnsw").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))))
-    asked = rows.mapInArrow(_assign(shards, d, True), _SHARD_SQL).withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(query_parts)).cast("int"))
-    found = graphs.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInArrow(_answer(d, k, m, ef), "ids binary, dist binary, near binary")
-    return merged(found, k)
+    graphs = X.written(graphs, "hnsw")
+    parts = max(1, once.count() // ASKED)
+    found = met(graphs, once.mapInArrow(_assign(shards, d, True), _SHARD_SQL), parts, _answer(d, k + 1, m, ef), "ids binary, dist binary, near binary")
+    return for_every_asker(merged(found, k + 1), asked, once, k)
