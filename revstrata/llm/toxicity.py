@@ -2,13 +2,13 @@
 
 A feature is the hash of an n-gram of 3 to 5 characters (ASCII letters as lower case) in a table of 2**20, present or absent in
 a text. Fitting: the features' document counts among toxic and other labelled texts give smoothed log-count ratios r; the
-features with the largest |r| weighted by their support are kept; a logistic regression is fitted on the presence of
-those, scaled by r. It uses a sample of at most `most` labelled rows, in the order of a hash of doc_id, so its cost is
-bounded; `most` is a parameter. Scoring covers every document and its whole text in one pass, without a shuffle: the model is
+`kept` features whose counts differ most from what they would be without a relation to the label (by (observed - expected)^2 /
+expected, at least `least`) are kept; a logistic regression is fitted on the presence of those, scaled by r. It uses a sample of
+at most `most` labelled rows, in the order of a hash of doc_id, so its cost is bounded; the three are parameters. Scoring covers every document and its whole text in one pass, without a shuffle: the model is
 broadcast, of fixed size.
 
 Defined results: a null or empty text scores the model's bias alone, and a null text isn't toxic; a null doc_id is scored
-like any other; labels with a null id or a null label, and of documents that aren't there, aren't used; for a document that is
+like any other; labels with a null id, or other than 0 and 1, and of documents that aren't there, aren't used, nor do they use up the sample; for a document that is
 labelled twice, toxic once makes it toxic; without labels of both kinds nothing is toxic (score 0). Other columns are ignored.
 """
 
@@ -22,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _exchange as X
 from ._text import _R, LOWER, U64, groups, mix, powers, strings
 
-ORDERS, BITS, KEPT, MOST = (3, 4, 5), 20, 1 << 14, 16_000
+ORDERS, BITS, KEPT, LEAST, MOST = (3, 4, 5), 20, 1 << 14, 4.0, 16_000
 _SLICES = 16
 
 
@@ -88,7 +89,8 @@ class Model:
 
 def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """(text, toxic) of the sample; its ids are broadcast, at most `most`."""
-    ids = labels.select(F.col("doc_id").cast("bigint").alias("__id"), F.col("toxic").cast("int").alias("__toxic")).dropna()
+    ids = labels.select(F.col("doc_id").cast("bigint").alias("__id"), F.col("toxic").cast("int").alias("__toxic")).where("__id is not null and __toxic in (0, 1)")
+    ids = ids.join(docs.select(F.col("doc_id").cast("bigint").alias("__there")), F.col("__id") == F.col("__there"), "left_semi")
     ids = ids.groupBy("__id").agg(F.max("__toxic").alias("__toxic")).orderBy(F.xxhash64("__id"), "__id").limit(most)
     docs = docs.select("doc_id", "text")
     return docs.join(F.broadcast(ids), docs["doc_id"] == F.col("__id")).select(F.col("text"), F.col("__toxic").alias("toxic")).where("text is not null")
@@ -114,9 +116,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.flatnonzero(part.any(axis=0)).astype(np.int32)
             blobs.append(np.concatenate([at, part[0, at], part[1, at]]).astype(np.int32).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array(blobs, pa.binary()), pa.array([n[0]] * _SLICES, pa.int64()), pa.array([n[1]] * _SLICES, pa.int64())], ["slice", "counts", "n0", "n1"])
+    del total
+    X.trim()
 
 
-def _ratios(kept: int):
+def _ratios(kept: int, least: float):
     def run(table: pa.Table) -> pa.Table:
         s = table["slice"][0].as_py()
         width = (1 << BITS) // _SLICES
@@ -131,8 +135,8 @@ def _ratios(kept: int):
         seen = total.sum(axis=0)
         expected = seen * n1 / max(1, n0 + n1)
         weight = np.where(seen > 0, (total[1] - expected) ** 2 / np.maximum(expected, 0.5), 0)
-        best = np.argsort(-weight, kind="stable")[: kept // 4]
-        best = best[weight[best] > 4]
+        best = np.argsort(-weight, kind="stable")[:kept]
+        best = best[weight[best] > least]
         return pa.table({"feature": (best + s * width).astype(np.int32), "ratio": r[best], "weight": weight[best], "n0": np.full(len(best), n0), "n1": np.full(len(best), n1)})
 
     return run
@@ -152,6 +156,7 @@ def _extract(place: np.ndarray):
                 at = place[feature].astype(_place_type(mask))
                 lists += [at[ends[k] : ends[k + 1]].tobytes() for k in range(j - i)]
             yield pa.RecordBatch.from_arrays([pa.array(lists, pa.binary()), batch.column(1).cast(pa.int32())], ["features", "toxic"])
+        X.trim()
 
     return run
 
@@ -190,11 +195,11 @@ def _logistic(column: np.ndarray, ends: np.ndarray, ratio: np.ndarray, y: np.nda
     return w, bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, kept: int = KEPT) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, kept: int = KEPT, least: float = LEAST) -> Model:
     """The model of at most `most` labelled rows (see the module)."""
     none = Model(np.zeros(0, np.int64), np.zeros(0), -50.0)
     some = _labelled(docs, labels, most)
-    found = some.mapInArrow(_count, "slice int, counts binary, n0 bigint, n1 bigint").groupBy("slice").applyInArrow(_ratios(kept), "feature int, ratio double, weight double, n0 bigint, n1 bigint").toPandas()
+    found = some.mapInArrow(_count, "slice int, counts binary, n0 bigint, n1 bigint").groupBy("slice").applyInArrow(_ratios(kept, least), "feature int, ratio double, weight double, n0 bigint, n1 bigint").toPandas()
     if found.empty or not found.n0[0] or not found.n1[0]:
         return none
     found = found.sort_values(["weight", "feature"], ascending=[False, True]).head(kept)
@@ -220,6 +225,7 @@ def _scorer(model: Model, columns: list[str]):
             score = model.score(data, offsets)
             arrays = [batch.column(i) for i, c in enumerate(columns) if c != "text"]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(score), pa.array((score >= model.threshold) & ~null)], [*(c for c in columns if c != "text"), "score", "toxic"])
+        X.trim()
 
     return run
 
@@ -234,6 +240,7 @@ def _filter(model: Model, at: int):
         for batch in batches:
             data, offsets, null = strings(batch.column(at))
             yield batch.filter(pa.array((model.score(data, offsets) < model.threshold) | null))
+        X.trim()
 
     return run
 
