@@ -11,7 +11,8 @@ that holds most of the corpus is still spread over all tasks.
 
 Defined results: a null or empty text has 0 tokens and takes the position at which it lies; a null source is the source '';
 documents with equal md5, as repeated rows, follow each other by doc_id; a null doc_id comes first in its source; with no
-tokens at all every position is 0. Columns other than doc_id, source and text are ignored by `positions` and kept by `mixed`.
+tokens at all every position is 0. In `mixed`, rows that share a doc_id come together, at the place of the one with the least
+(source, tokens). Texts are read once: ids, sources and numbers of tokens are written before they are used. Columns other than doc_id, source and text are ignored by `positions` and kept by `mixed`.
 """
 
 from __future__ import annotations
@@ -102,9 +103,14 @@ def positions(rows: DataFrame, schedule: DataFrame, knots: tuple[float, ...] = K
     return placed.select("doc_id", "source", "tokens", "epoch", F.round(inverse(F.least("share", "demand"), F.col("pieces")), 9).alias("position"))
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, tokens), written."""
+    return X.written(docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), word_count(F.col("text")).alias("tokens")), "counted")
+
+
 def curriculum(docs: DataFrame) -> DataFrame:
     """Positions of documents under the flattening schedule, in the order of training."""
-    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), word_count(F.col("text")).alias("tokens"))
+    rows = _counted(docs)
     return positions(rows, flattening(supplies(rows))).orderBy("position", "source", "doc_id", "epoch")
 
 
@@ -114,11 +120,11 @@ def mixed(docs: DataFrame, strength: float = 0.5, schedule: Callable[[DataFrame]
     schedule: gives the target weights from (source, supply), as `flattening` does; then documents are repeated or left out
     as `positions` says, and a null doc_id stays once. None only orders: no source is raised or lowered.
     """
-    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), word_count(F.col("text")).alias("tokens"))
-    stats = rows.groupBy("source").agg(F.sum("tokens").alias("supply"), F.avg("tokens").alias("mean"))
-    late = F.coalesce(F.try_divide("mean", F.col("mean") + F.lit(500.0)), F.lit(0.0))
     key, place = X.free(docs, "__id"), X.free(docs, "__position")
-    known = rows.where("doc_id is not null").dropDuplicates(["doc_id"])
+    known = _counted(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("source", "tokens")).alias("x")).select("doc_id", "x.source", "x.tokens")
+    known = X.written(known, "known")
+    stats = known.groupBy("source").agg(F.sum("tokens").alias("supply"), F.avg("tokens").alias("mean"))
+    late = F.coalesce(F.try_divide("mean", F.col("mean") + F.lit(500.0)), F.lit(0.0))
     at = positions(known, schedule(supplies(known)), knots, budget) if schedule else positions(known, tilted(stats, late, strength))
     at = at.select(F.col("doc_id").alias(key), F.col("position").alias(place))
     joined = docs.join(at, docs["doc_id"] == F.col(key), "left")
