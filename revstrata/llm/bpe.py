@@ -13,7 +13,7 @@ Defined results: a null text has null ids, an empty one none; null or repeated d
 white space, any script and any control character make a round trip. Other columns are ignored by `encode`.
 
 The split runs twice over its input (once for the words, once for the positions), which must therefore give the same rows in
-the same tasks when it is read again, as files and written tables do. A task is cut into parts row by row, by bytes of text, so
+the same tasks when it is read again, as scans of files do; anything else is written first. A task is cut into parts row by row, by bytes of text, so
 that the cuts don't depend on Arrow's batches, which differ with the columns that are read. A checksum of each part's words in
 their order travels with the answers; where it differs from that of the positions, this is an error rather than a wrong result.
 """
@@ -129,7 +129,7 @@ def _parts(batches: Iterator[pa.RecordBatch], placed: bool = True) -> Iterator[t
         while a < len(offsets) - 1:
             b = min(len(offsets) - 1, int(np.searchsorted(ends, ends[a] + _PART - size)))
             o = offsets[a : b + 1]
-            counts = np.concatenate([held.add(data[o[i] : o[j]], o[i : j + 1] - o[i]) for i, j in groups(o)])
+            counts = np.concatenate([held.add(data[o[i] : o[j]], o[i : j + 1] - o[i]) for i, j in groups(o, 1 << 21)])
             got.append((batch.column(0).slice(a, b - a) if batch.num_columns > 1 else None, null[a:b], counts))
             size += int(ends[b] - ends[a])
             a = b
@@ -183,34 +183,51 @@ _ANSWER = pa.schema([("part", pa.int64()), ("bucket", pa.int32()), ("check", pa.
 _ANSWER_SQL = "part bigint, bucket int, check bigint, sizes binary, ids binary"
 
 
-def _encode_words(path: str):
-    """Encode each distinct word of a bucket once; answer every part."""
+def _encode_words(path: str, most: int = 16 << 20):
+    """Encode each distinct word of a bucket once; answer every part. Rows come by bucket; the words of some MB of them are held
+    at a time, and the distinct words of the bucket with their ids."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path)._core_bpe.encode_single_piece
         known: dict[bytes, int] = {}
-        size: list[int] = []
-        flat: list[int] = []
-        parts = []
-        for part, check, texts, sizes in zip(table["part"].to_pylist(), table["check"].to_pylist(), table["texts"], table["sizes"]):
-            texts, ends = texts.as_py(), np.cumsum(_unsizes(sizes.as_py())).tolist()
-            at, where = 0, []
-            for end in ends:
-                word = texts[at:end]
-                at = end
-                k = known.get(word)
-                if k is None:
-                    k = known[word] = len(size)
-                    ids = encode(word)
-                    size.append(len(ids))
-                    flat += ids
-                where.append(k)
-            parts.append((part, check, np.array(where, np.int64)))
-        sizes, ids = np.array(size, np.int64), np.array(flat, np.uint32)
-        begin = np.cumsum(sizes) - sizes
-        bucket = table["bucket"][0].as_py()
-        rows = [(part, bucket, check, _sizes(sizes[w]), _narrow(_gather(ids, begin[w], sizes[w]))) for part, check, w in parts]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ANSWER)], schema=_ANSWER)
+        sizes, ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        size, flat, parts, held, now = [], [], [], 0, None
+
+        def answers() -> pa.RecordBatch:
+            nonlocal sizes, ids, size, flat, parts, held
+            sizes, ids = np.concatenate([sizes, np.array(size, np.int64)]), np.concatenate([ids, np.array(flat, np.uint32)])
+            begin = np.cumsum(sizes) - sizes
+            rows = [(part, now, check, _sizes(sizes[w]), _narrow(_gather(ids, begin[w], sizes[w]))) for part, check, w in parts]
+            size, flat, parts, held = [], [], [], 0
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ANSWER)], schema=_ANSWER)
+
+        for batch in batches:
+            for bucket, part, check, texts, packed in zip(*(batch.column(k) for k in range(5))):
+                if bucket.as_py() != now:
+                    if parts:
+                        yield answers()
+                    now, sizes, ids = bucket.as_py(), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+                    known.clear()
+                texts, ends = texts.as_py(), np.cumsum(_unsizes(packed.as_py())).tolist()
+                at, where = 0, []
+                for end in ends:
+                    word = texts[at:end]
+                    at = end
+                    k = known.get(word)
+                    if k is None:
+                        k = known[word] = len(known)
+                        own = encode(word)
+                        size.append(len(own))
+                        flat += own
+                    where.append(k)
+                parts.append((part.as_py(), check.as_py(), np.array(where, np.int64)))
+                held += len(texts) + 8 * len(where)
+                if held > most:
+                    yield answers()
+        if parts:
+            yield answers()
+        known.clear()
+        X.trim()
 
     return run
 
@@ -223,7 +240,8 @@ def _wide(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob[1:], np.dtype(blob[:1].decode()))
 
 
-_PLACED_SQL = "part bigint, buckets binary, check bigint, id_rows binary, nulls binary, counts binary, positions binary"
+_MET = pa.schema([("part", pa.int64()), ("bucket", pa.int32()), ("check", pa.int64()), *((c, pa.binary()) for c in ("sizes", "ids", "buckets", "rows", "nulls", "counts", "positions"))])
+_MET_SQL = "part bigint, bucket int, check bigint, sizes binary, ids binary, buckets binary, rows binary, nulls binary, counts binary, positions binary"
 
 
 def _place(buckets: int):
@@ -238,24 +256,21 @@ def _place(buckets: int):
             to = X.bucket_of(held.words()[2], buckets) if held.n else np.zeros(0, np.int64)
             big = at >= 0xFFFF
             blob = np.where(big, 0xFFFF, at).astype(np.uint16).tobytes() + at[big].astype(np.uint32).tobytes()
-            row = (part, to.astype(np.uint16).tobytes(), held.check(), sink.getvalue().to_pybytes(), null.tobytes(), counts.astype(np.uint32).tobytes(), blob)
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.binary(), pa.int64(), *[pa.binary()] * 4))], _names(_PLACED_SQL))
+            row = (part, -1, held.check(), None, None, to.astype(np.uint16).tobytes(), sink.getvalue().to_pybytes(), null.tobytes(), counts.astype(np.uint32).tobytes(), blob)
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _MET)], schema=_MET)
             del row, blob, at, big, held, got
             X.trim()
 
     return run
 
 
-def _names(schema: str) -> list[str]:
-    return [c.split()[0] for c in schema.split(",")]
-
-
-def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The ids of a part's documents, from positions (left) and answers (right)."""
-    if not left.num_rows or any(c != left["check"][0].as_py() for c in right["check"].to_pylist()):
+def _meet(table: pa.Table) -> pa.Table:
+    """The ids of a part's documents, from its positions (the first row) and the answers, in the order of buckets."""
+    bucket, checks = table["bucket"].to_pylist(), table["check"].to_pylist()
+    if bucket[0] != -1 or -1 in bucket[1:] or len(set(checks)) > 1:
         raise RuntimeError("the input gave other rows when it was read again; write it first")
-    x = {c: left[c][0].as_py() for c in ("buckets", "id_rows", "nulls", "counts", "positions")}
-    with pa.ipc.open_stream(x["id_rows"]) as r:
+    x = {c: table[c][0].as_py() for c in ("buckets", "rows", "nulls", "counts", "positions")}
+    with pa.ipc.open_stream(x["rows"]) as r:
         doc = r.read_all()["id"].combine_chunks()
     counts = np.frombuffer(x["counts"], np.uint32).astype(np.int64)
     n = int(counts.sum())
@@ -263,14 +278,13 @@ def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
     at[at == 0xFFFF] = np.frombuffer(x["positions"], np.uint32, offset=2 * n)
     to = np.frombuffer(x["buckets"], np.uint16)
     order = np.argsort(to, kind="stable")  # the words in the order of the answers
-    by = np.argsort(right["bucket"].to_numpy()) if right.num_rows else []
-    sizes = np.concatenate([_unsizes(right["sizes"][int(k)].as_py()) for k in by] or [np.zeros(0, np.int64)])
-    ids = np.concatenate([_wide(right["ids"][int(k)].as_py()) for k in by] or [np.zeros(0, np.uint16)])
+    sizes = np.concatenate([np.zeros(0, np.int64), *(_unsizes(v.as_py()) for v in table["sizes"][1:])])
+    ids = np.concatenate([np.zeros(0, np.uint16), *(_wide(v.as_py()) for v in table["ids"][1:])])
     if len(sizes) != len(to):
         raise RuntimeError("the input gave other rows when it was read again; write it first")
     size, begin = np.empty(len(to), np.int64), np.empty(len(to), np.int64)
     size[order], begin[order] = sizes, np.cumsum(sizes) - sizes
-    del sizes, order, right
+    del sizes, order, table
     null = np.frombuffer(x["nulls"], bool)
     word_ends = np.concatenate(([0], np.cumsum(counts)))
     kind = pa.list_(pa.int32())
@@ -291,11 +305,15 @@ def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
 def encode(docs: DataFrame, path: str = RANKS) -> DataFrame:
     """(doc_id, ids) of every row; docs has doc_id and text."""
     result = StructType([docs.schema["doc_id"], StructField("ids", ArrayType(IntegerType()))])
-    rows = docs.select("doc_id", "text")
-    b = min(X.buckets(rows), 1 << 16)
-    answers = rows.select("text").mapInArrow(_ask(b), _ASKED_SQL).groupBy("bucket").applyInArrow(_encode_words(path), _ANSWER_SQL)
-    placed = rows.mapInArrow(_place(b), _PLACED_SQL)
-    return placed.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_meet, result)
+    rows = X.rereadable(docs.select("doc_id", "text"))
+    b = min(X.buckets(rows), 1 << 16)  # a bucket's memory follows its distinct words, not the number of parts
+    asked = X.placed(rows.select("text").mapInArrow(_ask(b), _ASKED_SQL), b)
+    answers = asked.mapInArrow(_encode_words(path), _ANSWER_SQL)
+    nothing = [F.lit(None).cast("binary").alias(c) for c in ("buckets", "rows", "nulls", "counts", "positions")]
+    answers = answers.select("part", "bucket", "check", "sizes", "ids", *nothing)
+    both = rows.mapInArrow(_place(b), _MET_SQL).unionByName(answers)
+    tasks = 1 << (int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+    return X.by_bucket(both, tasks, _meet, result, "part", F.shiftright("part", 20).cast("int"), ("bucket",))
 
 
 @functools.lru_cache(2)
