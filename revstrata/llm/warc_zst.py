@@ -8,11 +8,13 @@ Reading: files are spread over tasks by name and streamed, a frame at a time, so
 file; any file system that pyarrow knows will do. Each record is validated: version line, header syntax, the headers that the
 standard requires, a Content-Length equal to the block's length, the closing line ends, and that the frame holds one record
 and no more. A record that fails is returned with what is wrong in `error`, and the reader goes on with the next frame; where
-a frame itself can't be decoded the rest of that file can't be found, so one row says so and ends the file.
+a frame itself, or the dictionary, can't be decoded the rest of that file can't be found, so one row says so and ends the file.
+A frame whose record is larger than `most_record` bytes is passed over, without being held, and reported.
 
 Defined results: an empty file gives no rows; headers are matched without regard to case, the last of a repeated one wins; an
 empty block is an empty payload. Writing: null payloads are empty blocks, null URLs leave WARC-Target-URI out, repeated rows are
-records of their own, null ids give a record without a number in its id; other columns are ignored.
+records of their own, null ids give a record without a number in its id; line ends in a URL are percent-encoded; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -30,13 +32,14 @@ from pyspark.sql import functions as F
 
 DICTIONARY_MAGIC = 0x184D2A5D
 _ZSTD = 0xFD2FB528
+MOST_RECORD = 1 << 30
 REQUIRED = ("warc-record-id", "content-length", "warc-date", "warc-type")
 
 
 def record(kind: str, date: str, block: bytes, record_id: str, uri: str | None = None, mime: str = "text/html") -> bytes:
     head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {date}"]
     if uri is not None:
-        head.append(f"WARC-Target-URI: {uri}")
+        head.append("WARC-Target-URI: " + uri.replace("\r", "%0D").replace("\n", "%0A"))
     head += [f"Content-Type: {mime}", f"Content-Length: {len(block)}"]
     return ("WARC/1.1\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
@@ -79,10 +82,10 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes, str | None]:
 
 
 class Frames:
-    """The dictionary and the decoded frames of a stream."""
+    """The dictionary and the decoded frames of a stream; None for a frame of more than `most` bytes."""
 
-    def __init__(self, source) -> None:
-        self._in, self._left = source, b""
+    def __init__(self, source, most: int = MOST_RECORD) -> None:
+        self._in, self._left, self._most = source, b"", most
         self.dictionary: bytes | None = None
 
     def _fill(self, n: int) -> bool:
@@ -93,7 +96,7 @@ class Frames:
             self._left += bytes(more)
         return True
 
-    def __iter__(self) -> Iterator[bytes]:
+    def __iter__(self) -> Iterator[bytes | None]:
         import zstandard
 
         decoder, first = zstandard.ZstdDecompressor(), True
@@ -106,27 +109,36 @@ class Frames:
                     raise ValueError("truncated skippable frame")
                 if first and magic == DICTIONARY_MAGIC:
                     raw = self._left[8 : 8 + size]
-                    if raw[:4] == struct.pack("<I", _ZSTD):
-                        raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
+                    try:
+                        if raw[:4] == struct.pack("<I", _ZSTD):
+                            one = zstandard.ZstdDecompressor().decompressobj()
+                            raw = one.decompress(raw)
+                            if not one.eof:
+                                raise ValueError("truncated")
+                        decoder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
+                    except (zstandard.ZstdError, ValueError, MemoryError) as e:
+                        raise ValueError(f"bad dictionary: {e}") from None
                     self.dictionary = raw
-                    decoder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
                 self._left = self._left[8 + size :]
                 first = False
                 continue
             first = False
             if magic != _ZSTD:
                 raise ValueError("not a frame")
-            one, parts = decoder.decompressobj(), []
+            one, parts, n = decoder.decompressobj(), [], 0
             try:
                 while not one.eof:
                     if not self._left and not self._fill(1):
                         raise ValueError("truncated frame")
                     chunk, self._left = self._left, b""
                     parts.append(one.decompress(chunk))
+                    n += len(parts[-1])
+                    if n > self._most:
+                        parts = []
                 self._left = one.unused_data
             except zstandard.ZstdError as e:
                 raise ValueError(f"bad frame: {e}") from None
-            yield b"".join(parts)
+            yield b"".join(parts) if n <= self._most else None
 
 
 _ROWS = pa.schema([("file", pa.string()), ("record", pa.int64()), ("record_id", pa.string()), ("kind", pa.string()), ("uri", pa.string()), ("date", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary()), ("error", pa.string())])
@@ -142,11 +154,11 @@ def _uri(path: str) -> str:
     return "file:///" + path[5:].lstrip("/") if path.startswith("file:") else path
 
 
-def _rows(path: str) -> Iterator[tuple]:
+def _rows(path: str, most_record: int) -> Iterator[tuple]:
     fs, at = _open(_uri(path))
     with fs.open_input_stream(at, compression=None) as source:
         n = 0
-        frames = iter(Frames(source))
+        frames = iter(Frames(source, most_record))
         while True:
             try:
                 raw = next(frames)
@@ -155,31 +167,40 @@ def _rows(path: str) -> Iterator[tuple]:
             except ValueError as e:
                 yield path, n, None, None, None, None, [], b"", str(e)
                 return
-            h, block, error = parse_record(raw)
+            h, block, error = parse_record(raw) if raw is not None else ({}, b"", "larger than the limit for a record")
             yield path, n, h.get("warc-record-id", "").strip("<>") or None, h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-date"), list(h.items()), block, error
             n += 1
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
-    for batch in batches:
-        for path in batch.column(0).to_pylist():
-            for row in _rows(path):
-                held.append(row)
-                size += len(row[7]) + 500
-                if size > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _ROWS)], schema=_ROWS)
-                    held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _ROWS)], schema=_ROWS)
+def _read(most_record: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                for row in _rows(path, most_record):
+                    held.append(row)
+                    size += len(row[7]) + 500
+                    if size > 8 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _ROWS)], schema=_ROWS)
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _ROWS)], schema=_ROWS)
+
+    return run
 
 
-def read(spark: SparkSession, path: str, glob: str = "*.warc.zst") -> DataFrame:
+def read(spark: SparkSession, path: str, glob: str = "*.warc.zst", most_record: int = MOST_RECORD) -> DataFrame:
     """A row for each record of the archives under a folder: (file, record, record_id, kind, uri, date, headers, payload, error)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path")
     # only names are read here; a task takes few of them, for archives are large
     n = max(1, min(files.count(), 1 << 15))
-    return files.repartition(n).mapInArrow(_read, _ROWS_SQL)
+    return files.repartition(n).mapInArrow(_read(most_record), _ROWS_SQL)
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the file system that Spark takes it to be in."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
 
 
 def train_dictionary(samples: list[bytes], size: int = 1 << 15) -> bytes:
@@ -240,6 +261,7 @@ def write(rows: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", dict
     A file's dictionary is trained on its first `dictionary_from` records. Only the files of tasks that succeeded are kept:
     a task that is run again writes files of other names, and those of lost attempts are deleted at the end.
     """
+    folder = _qualified(rows.sparkSession, folder)
     fs, root = _open(_uri(folder))
     fs.create_dir(root)
     done = rows.mapInArrow(_write(folder, date, dictionary_from, most), "file string, records bigint").collect()
