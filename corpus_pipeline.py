@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and gives the rows that the next one reads from Parquet. All but the last give the columns
 of documents; the last gives (doc_id, position, n_tokens, ids), where sorting by position gives the order of training.
-Documents with a null doc_id or text pass the stages untouched; an empty table stays one.
+Documents with a null doc_id or text pass the stages untouched; rows that share a doc_id are told apart by their text; an empty
+table stays one.
 """
 
 from __future__ import annotations
@@ -23,9 +24,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the least doc_id."""
-    gone = ngram_join.near_duplicate_groups(docs).select("doc_id")
-    return _exchange.without(docs, "doc_id", gone)
+    """One document of each group of near duplicates stays: the one with the least doc_id; of repeated rows, one."""
+    return ngram_join.without_near_duplicates(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
