@@ -46,3 +46,12 @@ def _diff(old: pd.Series, new: pd.Series) -> pd.Series:
 def diff(old: Column | str, new: Column | str) -> Column:
     """Deltas between two arrays of strings; null counts as empty."""
     return F.pandas_udf(_diff, DELTAS)(old, new)
+
+
+def _patch(old: pd.Series, changes: pd.Series) -> pd.Series:
+    return pd.Series([patch([] if a is None else list(a), [] if d is None else [dict(x) for x in d]) for a, d in zip(old, changes)])
+
+
+def patched(old: Column | str, changes: Column | str) -> Column:
+    """The array that the deltas make of the old one; null counts as empty."""
+    return F.pandas_udf(_patch, "array<string>")(old, changes)

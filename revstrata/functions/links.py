@@ -79,9 +79,13 @@ def templates(text: Column, excluded: str | None = None) -> Column:
 
 
 def graph_key(s: Column) -> Column:
-    """A name as a knowledge-graph key: other than ASCII letters, digits, _ and -, a character is $ and its hexadecimal code.
+    """A name as a knowledge-graph key: other than ASCII letters, digits, _ and -, a character is $ and its hexadecimal code in
+    UTF-16, so two of them beyond the basic plane.
 
     A name shorter than two characters has the key WTF.
     """
-    one = lambda c: F.when(c.rlike("^[A-Za-z0-9_-]$"), c).otherwise(F.concat(F.lit("$"), F.lpad(F.hex(F.ascii(c)), 4, "0")))
+    code = lambda n: F.concat(F.lit("$"), F.lpad(F.hex(n), 4, "0"))
+    high = lambda c: (F.ascii(c) - 0x10000).bitwiseAND(0xFFC00) / 1024 + 0xD800
+    pair = lambda c: F.concat(code(high(c).cast("int")), code((F.ascii(c) - 0x10000).bitwiseAND(0x3FF) + 0xDC00))
+    one = lambda c: F.when(c.rlike("^[A-Za-z0-9_-]$"), c).when(F.ascii(c) > 0xFFFF, pair(c)).otherwise(code(F.ascii(c)))
     return F.when(F.length(s) >= 2, F.array_join(F.transform(F.filter(F.split(s, ""), lambda c: c != ""), one), "")).when(s.isNotNull(), F.lit("WTF"))

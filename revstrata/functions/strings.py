@@ -53,9 +53,10 @@ def sentence_words(text: Column) -> Column:
 
 
 def change_score(length: Column, before: Column, minor: Column | None = None) -> Column:
-    """Relative change of length: 1 if there was nothing before, 0.0005 for a minor edit."""
-    score = F.when(F.coalesce(before, F.lit(0)) == 0, F.lit(1.0)).otherwise(F.abs(length - before).cast("double") / before.cast("double"))
-    return score if minor is None else F.when(minor, F.lit(0.0005)).otherwise(score)
+    """Relative change of length: 1 if there was nothing before, else 0.0005 for a minor edit."""
+    score = F.when(F.coalesce(before, F.lit(0)) == 0, F.lit(1.0))
+    score = score if minor is None else score.when(minor, F.lit(0.0005))
+    return score.otherwise(F.abs(length - before).cast("double") / before.cast("double"))
 
 
 def request_parts(request: Column) -> Column:

@@ -7,16 +7,17 @@ import string
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPACES = ["Category", "File", "Help", "Portal", "Special", "Talk", "Template", "User", "Wikipedia"]
-#: Namespaces and languages that have no articles, by language of the project, sorted.
+_ANYWHERE = ["//upload", "Wikipedia#", "Wikipedia/", "Wikipedia:", "hr:", "hu:", "simple:", *(f"http{s}://" for s in ("", "s"))]
+_ENGLISH = "Category File Help Portal Portal_talk Special Talk Template Translate User".split()
+_GERMAN = "Benutzer Datei Diskussion Hilfe Kategorie Portal Spezial Vorlage".split()
+#: Begins of titles of namespaces and languages that have no articles, by language of the project, sorted.
 NOT_ARTICLES = {
-    "en": sorted(f"{x}:" for x in [*_SPACES, "Portal_talk", "Translate", "hr", "hu", "simple"])
-    + sorted(["/File:", "/Template:", "/Template_talk:", "/Wikipedia_talk:", "//upload", "Wikipedia#", "Wikipedia/", "http://", "https://"]),
-    "de": sorted(f"{x}:" for x in ["Benutzer", "Benutzer_Diskussion", "Datei", "Diskussion", "Hilfe", "Kategorie", "Media", "MediaWiki", "Portal", "Spezial", "Vorlage", "Wikipedia"])
-    + ["http://", "https://"],
+    "en": sorted([*_ANYWHERE, *(f"{x}:" for x in _ENGLISH), *(f"/{x}:" for x in ("File", "Template", "Template_talk", "Wikipedia_talk"))]),
+    "de": sorted([*_ANYWHERE, *(f"{x}:" for x in _GERMAN)]),
 }
+_EITHER_CASE = "bmp css gif jpg ogg php svg txt".split()
 #: Endings of files and of service pages.
-FILE_ENDINGS = sorted([f".{e}" for e in "bmp css gif jpg ogg svg txt".split()] + [f".{e.upper()}" for e in "bmp css gif jpg ogg svg txt".split()] + [".html", ".ogv", ".php", ".webm", "HTML"])
+FILE_ENDINGS = sorted({f".{e}" for e in _EITHER_CASE} | {f".{e.upper()}" for e in _EITHER_CASE} | {".html", ".ogv", ".webm", "HTML"})
 
 
 def _any(parts: list[str]) -> str:
@@ -34,20 +35,24 @@ def decoded(title: Column) -> Column:
 
 
 def normalised(title: Column) -> Column:
-    """Cut at # and &, one leading # or _ and one trailing _ dropped, quotes or wiki/ dropped, blanks as _, first letter A-Z."""
+    """Cut at # and &, one leading # or _ and one trailing _ dropped, quotes or wiki/ dropped, runs of blanks as _, first letter A-Z.
+
+    A title of quotes only is the empty string.
+    """
     t = title
-    for pattern, kept in (
-        (r"(?s)^([^#]+)#.*$", "$1"),
-        (r"(?s)^([^&]+)&.*$", "$1"),
-        (r"^[#_]", ""),
-        (r"_$", ""),
-        (r"""(?s)^(?:'''(.+)'''|''(.+)''|"(.+)"|wiki/(.*))$""", "$1$2$3$4"),
-        (r"^\s+|\s+$", ""),
-        (r"\s", "_"),
-    ):
+    for pattern, kept in ((r"(?s)^([^#]+)#.*$", "$1"), (r"(?s)^([^&]+)&.*$", "$1"), (r"^[#_]", ""), (r"_$", "")):
         t = F.regexp_replace(t, pattern, kept)  # each step names the one before once, so the expression stays small
-    first = F.translate(F.substring(t, 1, 1), string.ascii_lowercase, string.ascii_uppercase)
-    return F.concat(first, F.substring(t, F.lit(2), F.length(t)))
+
+    def unquoted(x: Column) -> Column:
+        inside = lambda n: F.substring(x, F.lit(n + 1), F.greatest(F.length(x) - 2 * n, F.lit(0)))
+        out = F.when(x.startswith("'''") & x.endswith("'''"), inside(3)).when(x.startswith("''") & x.endswith("''"), inside(2))
+        out = out.when(x.startswith('"') & x.endswith('"'), inside(1))
+        return out.when(x.startswith("wiki/"), F.substring(x, F.lit(6), F.length(x))).otherwise(x)
+
+    t = F.get(F.transform(F.array(t), unquoted), F.lit(0))
+    t = F.regexp_replace(F.regexp_replace(t, r"^\s+|\s+$", ""), r"\s+", "_")
+    capital = lambda x: F.concat(F.translate(F.substring(x, 1, 1), string.ascii_lowercase, string.ascii_uppercase), F.substring(x, F.lit(2), F.length(x)))
+    return F.get(F.transform(F.array(t), capital), F.lit(0))
 
 
 def day_segments(compact: Column) -> Column:

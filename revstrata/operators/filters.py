@@ -58,6 +58,11 @@ def bernoulli(df: DataFrame, share: float = 0.33, seed: int = 7) -> DataFrame:
     return df.sample(share, seed)
 
 
+def hashed_sample(df: DataFrame, key: str, share: float = 0.33) -> DataFrame:
+    """Rows whose key falls into a share of its hashes: the same ones whenever it is computed again."""
+    return df.where(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("bigint") < int(share * (1 << 32)))
+
+
 def mended_timestamps(lines: DataFrame, column: str = "value") -> DataFrame:
     """(ts, rest) of lines whose first 13 characters are a timestamp, with or without a tab after it; others go."""
     ts = F.substring(column, 1, 13).try_cast("bigint")

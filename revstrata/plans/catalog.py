@@ -81,7 +81,7 @@ def parent_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.time_window(V.rev(spark, sf_dir), 1296518400000).select("ts_ms", "rev_id", "parent_id").orderBy("ts_ms", "rev_id")
 
 
-@query(f"WITH {V.SQL_REV} SELECT page_id, rev_id, round(CASE WHEN minor THEN 0.0005::DOUBLE WHEN coalesce(p, 0) = 0 THEN 1::DOUBLE ELSE abs(length - p)::DOUBLE / p END, 9) AS score FROM (SELECT *, lag(length) OVER (PARTITION BY page_id ORDER BY ts_ms, rev_id) AS p FROM rev) x")
+@query(f"WITH {V.SQL_REV} SELECT page_id, rev_id, round(CASE WHEN coalesce(p, 0) = 0 THEN 1::DOUBLE WHEN minor THEN 0.0005::DOUBLE ELSE abs(length - p)::DOUBLE / p END, 9) AS score FROM (SELECT *, lag(length) OVER (PARTITION BY page_id ORDER BY ts_ms, rev_id) AS p FROM rev) x")
 def change_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = sequence.pairs(V.rev(spark, sf_dir).select("page_id", "rev_id", "ts_ms", "length", "minor"))
     return p.select("page_id", "rev_id", F.round(strings.change_score(F.col("length"), F.col("prev_length"), F.col("minor")), 9).alias("score"))
@@ -107,9 +107,9 @@ def seed_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.seeds(V.rev(spark, sf_dir), V.table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"), anti=True).select("page_id", "rev_id")
 
 
-@query()
+@query(f"WITH {V.SQL_REV} SELECT page_id, rev_id FROM rev WHERE CAST('0x' || substr(md5(CAST(rev_id AS VARCHAR)), 1, 8) AS BIGINT) < {int(0.33 * (1 << 32))}")
 def random_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filters.bernoulli(V.rev(spark, sf_dir).select("page_id", "rev_id"))
+    return filters.hashed_sample(V.rev(spark, sf_dir).select("page_id", "rev_id"), "rev_id")
 
 
 @query("SELECT CAST(1704067200000 + event_id AS BIGINT) AS ts, event_type AS rest FROM events")
@@ -121,6 +121,8 @@ def mended_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Sequences of revisions
 
+_TOKENS = r"SELECT {k}, unnest(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) AS term FROM {t}"
+
 
 @query(f"WITH {V.SQL_REV} SELECT page_id, rev_id, ts_ms, coalesce(lag(rev_id) OVER w, -1) AS prev_rev_id, coalesce(lag(ts_ms) OVER w, 0) AS prev_ts_ms, coalesce(lag(length) OVER w, 0) AS prev_length FROM rev WINDOW w AS (PARTITION BY page_id ORDER BY ts_ms, rev_id)")
 def revision_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,16 +141,18 @@ for _unit in dates.UNITS:
 
     QUERIES[f"bucket_last_{_unit}"], SQL[f"bucket_last_{_unit}"] = _bucket, _bucket_sql(_unit)
 
-_MID = "abs(o.length - f.blen)::DOUBLE / f.blen"
-
-
-def _adaptive_sql(last: bool = True, where: str = "") -> str:
-    return f"""WITH RECURSIVE {V.SQL_REV},
-    o AS (SELECT page_id, rev_id, length, row_number() OVER (PARTITION BY page_id ORDER BY ts_ms, rev_id) AS rn, count(*) OVER (PARTITION BY page_id) AS n FROM rev WHERE length >= 10),
+# A minor edit scores 0.0005 (there always is a base, of 10 bytes or more).
+_MID = "CASE WHEN o.minor THEN 0.0005::DOUBLE ELSE abs(o.length - f.blen)::DOUBLE / f.blen END"
+_ADAPTIVE = f"""o AS (SELECT page_id, rev_id, length, minor, row_number() OVER (PARTITION BY page_id ORDER BY ts_ms, rev_id) AS rn, count(*) OVER (PARTITION BY page_id) AS n FROM rev WHERE length >= 10),
     f AS (SELECT page_id, rn, rev_id AS base, length AS blen, CAST(NULL AS BIGINT) AS emit, n FROM o WHERE rn = 1
       UNION ALL SELECT f.page_id, o.rn, CASE WHEN {_MID} BETWEEN 0.01::DOUBLE AND 0.1::DOUBLE THEN f.base ELSE o.rev_id END, CASE WHEN {_MID} BETWEEN 0.01::DOUBLE AND 0.1::DOUBLE THEN f.blen ELSE o.length END,
-        CASE WHEN {_MID} > 0.1::DOUBLE THEN f.base END, f.n FROM f JOIN o ON o.page_id = f.page_id AND o.rn = f.rn + 1)
-    SELECT page_id, emit AS rev_id FROM f WHERE emit IS NOT NULL""" + (" UNION ALL SELECT page_id, base FROM f WHERE rn = n" if last else "")
+        CASE WHEN {_MID} > 0.1::DOUBLE THEN f.base END, f.n FROM f JOIN o ON o.page_id = f.page_id AND o.rn = f.rn + 1),
+    emitted AS (SELECT page_id, emit AS rev_id FROM f WHERE emit IS NOT NULL)"""
+_LAST = "SELECT page_id, base AS rev_id FROM f WHERE rn = n"
+
+
+def _adaptive_sql(last: bool = True) -> str:
+    return f"WITH RECURSIVE {V.SQL_REV}, {_ADAPTIVE} SELECT page_id, rev_id FROM emitted" + (f" UNION ALL {_LAST}" if last else "")
 
 
 @query(_adaptive_sql())
@@ -159,23 +163,50 @@ def adaptive_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SCORE = f"CASE WHEN f.lts IS NULL THEN {_MID} WHEN o.ts_ms - f.lts <= {sequence.MONTH_MS} THEN 0.0005::DOUBLE ELSE abs(o.length - f.llen)::DOUBLE / f.blen END"
 
 
-@query(f"""WITH RECURSIVE {V.SQL_REV},
-    o AS (SELECT page_id, rev_id, ts_ms, length, row_number() OVER (PARTITION BY page_id ORDER BY ts_ms, rev_id) AS rn, count(*) OVER (PARTITION BY page_id) AS n FROM rev WHERE length >= 10),
+_BY_INTERVAL = f"""o AS (SELECT page_id, rev_id, ts_ms, length, minor, row_number() OVER (PARTITION BY page_id ORDER BY ts_ms, rev_id) AS rn, count(*) OVER (PARTITION BY page_id) AS n FROM rev WHERE length >= 10),
     f AS (SELECT page_id, rn, rev_id AS base, length AS blen, ts_ms AS bts, CAST(NULL AS BIGINT) AS lts, CAST(NULL AS BIGINT) AS llen, CAST(NULL AS BIGINT) AS emit, n FROM o WHERE rn = 1
       UNION ALL SELECT page_id, rn, CASE WHEN s BETWEEN 0.01::DOUBLE AND 0.1::DOUBLE THEN base ELSE rev_id END, CASE WHEN s BETWEEN 0.01::DOUBLE AND 0.1::DOUBLE THEN blen ELSE length END,
         CASE WHEN s BETWEEN 0.01::DOUBLE AND 0.1::DOUBLE THEN bts ELSE ts_ms END, CASE WHEN s > 0.1::DOUBLE THEN bts ELSE lts END, CASE WHEN s > 0.1::DOUBLE THEN blen ELSE llen END, CASE WHEN s > 0.1::DOUBLE THEN base END, n
-      FROM (SELECT f.page_id, o.rn, o.rev_id, o.length, o.ts_ms, f.base, f.blen, f.bts, f.lts, f.llen, f.n, {_SCORE} AS s FROM f JOIN o ON o.page_id = f.page_id AND o.rn = f.rn + 1) x)
-    SELECT page_id, emit AS rev_id FROM f WHERE emit IS NOT NULL UNION ALL SELECT page_id, base FROM f WHERE rn = n""")
+      FROM (SELECT f.page_id, o.rn, o.rev_id, o.length, o.ts_ms, f.base, f.blen, f.bts, f.lts, f.llen, f.n, {_SCORE} AS s FROM f JOIN o ON o.page_id = f.page_id AND o.rn = f.rn + 1) x),
+    kept AS (SELECT page_id, emit AS rev_id FROM f WHERE emit IS NOT NULL UNION ALL SELECT page_id, base FROM f WHERE rn = n)"""
+
+
+@query(f"WITH RECURSIVE {V.SQL_REV}, {_BY_INTERVAL} SELECT page_id, rev_id FROM kept")
 def adaptive_sample_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.adaptive_sample(V.rev(spark, sf_dir), interval_ms=sequence.MONTH_MS)
 
 
+@query(f"WITH RECURSIVE {V.SQL_ANCHOR}, {_ADAPTIVE}, kept AS (SELECT * FROM emitted UNION ALL {_LAST}) SELECT ts, pid, revid, parent, anchor, target FROM anchor JOIN kept ON pid = page_id AND revid = rev_id")
+def sampled_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.sampled_links(V.wikitext(spark, sf_dir))
+
+
+@query(f"WITH {V.SQL_ANCHOR} SELECT pid AS page_id, revid AS rev_id, ts AS ts_ms, anchor, target FROM anchor")
+def added_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links are in the first paragraph, which has the revision's number, so every revision changes it."""
+    return sequence.added_links(V.wikitext(spark, sf_dir))
+
+
+def _added_sql(revs: str) -> str:
+    """added_words of a table of revisions: counts by word, and the count in the row before if that is of the revision before."""
+    return f"""r0 AS (SELECT page_id, rev_id, ts_ms, text, lag(rev_id) OVER w AS prev, coalesce(lag(ts_ms) OVER w, -1) AS last_ts FROM {revs} WINDOW w AS (PARTITION BY page_id ORDER BY ts_ms, rev_id)),
+    c AS (SELECT page_id, rev_id, prev, ts_ms, last_ts, term, count(*) AS n FROM ({_TOKENS.format(k="page_id, rev_id, prev, ts_ms, last_ts", t="r0")}) x GROUP BY ALL),
+    d AS (SELECT *, CASE WHEN lag(rev_id) OVER w = prev THEN lag(n) OVER w ELSE 0 END AS before FROM c WINDOW w AS (PARTITION BY page_id, term ORDER BY ts_ms, rev_id))
+    SELECT term AS word, page_id, last_ts, ts_ms, CAST(n - before AS BIGINT) AS n FROM d WHERE n > before"""
+
+
 @query()
 def revision_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = sequence.revision_diffs(V.rev(spark, sf_dir))
     return d.select("page_id", "rev_id", "prev_rev_id", F.size("deltas").alias("n_deltas"), F.to_json("deltas").alias("deltas"))
 
 
+@query(r"WITH " + V.SQL_REV + r""", p AS (SELECT page_id, rev_id, array_to_string(list_filter(string_split_regex(text, '\n\s*'), lambda x: x <> ''), chr(10)) AS text FROM rev) SELECT page_id, rev_id, text FROM p""")
+def revision_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paragraphs of each revision, restored from those of the one before it and the deltas."""
+    return sequence.restored(V.rev(spark, sf_dir)).select("page_id", "rev_id", F.array_join("parts", "\n").alias("text"))
+
+
 @query()
 def concat_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = sequence.concatenated(V.rev(spark, sf_dir), "month")
@@ -193,7 +224,6 @@ def revision_in_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Terms
 
-_TOKENS = r"SELECT {k}, unnest(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) AS term FROM {t}"
 
 
 @query(f"WITH {V.SQL_REV} SELECT page_id, rev_id, ts_ms, CAST(len(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS BIGINT) AS n_tokens FROM rev")
@@ -235,9 +265,12 @@ def doc_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("doc_id", F.array_join(F.transform("term_ids", lambda x: x.cast("string")), " ").alias("term_ids"))
 
 
-@query(f"""WITH {V.SQL_REV}, o AS (SELECT page_id, rev_id, ts_ms, text, lag(rev_id) OVER w AS prev, coalesce(lag(ts_ms) OVER w, -1) AS last_ts FROM rev WINDOW w AS (PARTITION BY page_id ORDER BY ts_ms, rev_id)),
-    c AS (SELECT page_id, rev_id, prev, ts_ms, last_ts, term, count(*) AS n FROM ({_TOKENS.format(k="page_id, rev_id, prev, ts_ms, last_ts", t="o")}) x GROUP BY ALL)
-    SELECT c.term AS word, c.page_id, c.last_ts, c.ts_ms, c.n - coalesce(p.n, 0) AS n FROM c LEFT JOIN c p ON p.page_id = c.page_id AND p.rev_id = c.prev AND p.term = c.term WHERE c.n > coalesce(p.n, 0)""")
+@query(f"WITH RECURSIVE {V.SQL_REV}, {_BY_INTERVAL}, picked AS (SELECT rev.* FROM rev JOIN kept USING (page_id, rev_id)), " + _added_sql("picked"))
+def sampled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.sampled_words(V.rev(spark, sf_dir)).select("word", "page_id", "last_ts", "ts_ms", "n")
+
+
+@query(f"WITH {V.SQL_REV}, " + _added_sql("rev"))
 def temporal_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.temporal_index(V.rev(spark, sf_dir))
 
@@ -259,7 +292,9 @@ def wiki_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.anchors(V.wikitext(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {V.SQL_WIKI}, h AS (SELECT ts_ms AS ts, page_id, rev_id, text, coalesce(source, 'none') AS s, coalesce(lang, 'xx') AS g FROM wiki),
+    x AS (SELECT *, s AS target, g AS anchor, 2 AS o, 5 + length(s) + length(g) AS stop FROM h UNION ALL SELECT *, s, s, 8 + length(s) + length(g), 12 + 2 * length(s) + length(g) FROM h)
+    SELECT ts, page_id, rev_id, target, anchor, CAST(o AS INTEGER) AS "offset", substr(substr(text, 1, o - 2), greatest(1, o - 21)) AS pre, translate(substr(text, stop + 1, 20), chr(10) || chr(9), '  ') AS post FROM x""")
 def links_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.anchors_with_context(V.wikitext(spark, sf_dir))
 
@@ -445,13 +480,35 @@ def domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "pages").select("page_id", strings.domain(F.col("url")).alias("domain"))
 
 
-@query("SELECT doc_id, upper(left(source, 1)) || substr(source, 2) || '_' || lang AS title FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL")
+@query("""WITH d AS (SELECT doc_id, source AS s, upper(left(source, 1)) || substr(source, 2) AS c, lang AS l FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL)
+    SELECT doc_id, CASE doc_id % 12 WHEN 0 THEN c || '_' || l WHEN 1 THEN c WHEN 2 THEN c WHEN 3 THEN c WHEN 4 THEN '' WHEN 5 THEN c WHEN 6 THEN c || '_' || l WHEN 7 THEN c WHEN 8 THEN ''
+      WHEN 9 THEN '&' || s WHEN 10 THEN c || '_' || l ELSE '''' || s END AS title FROM d""")
 def title_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles that meet each rule in turn."""
     d = V.table(spark, sf_dir, "documents").where("source is not null and lang is not null")
-    raw = F.concat(F.lit("_"), "source", F.lit("%20"), "lang", F.lit("_%23part&x"))
+    raw = F.expr(r"""CASE doc_id % 12 WHEN 0 THEN concat('_', source, '%20', lang, '_%23part&x') WHEN 1 THEN concat("'''", source, "'''") WHEN 2 THEN concat("''", source, "''") WHEN 3 THEN concat('"', source, '"')
+      WHEN 4 THEN "''''''" WHEN 5 THEN concat('wiki/', source) WHEN 6 THEN concat(source, '%20%20', lang) WHEN 7 THEN concat('%23', source, '_') WHEN 8 THEN '"' WHEN 9 THEN concat('&', source)
+      WHEN 10 THEN concat('%20', source, '%09%0A', lang, '%20') ELSE concat("'''", source, "''") END""")
     return d.select("doc_id", titles.normalised(titles.decoded(raw)).alias("title"))
 
 
+_TITLES = ["Wikipedia/x", "simple:x", "x.PHP", "//upload.x", "MediaWiki:x", "x", "a/Talk:x", "Category:x", "Kategorie:x", "x.webm"]
+
+
+@query("SELECT doc_id, CAST([0, 0, 0, 0, 1, 1, 0, 0, 1, 0][doc_id % 10 + 1] AS INTEGER) AS en, CAST([0, 0, 0, 0, 1, 1, 0, 1, 0, 0][doc_id % 10 + 1] AS INTEGER) AS de FROM documents")
+def article_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether titles of several kinds are those of articles, in two languages."""
+    t = F.get(F.array(*map(F.lit, _TITLES)), (F.col("doc_id") % 10).cast("int"))
+    return V.table(spark, sf_dir, "documents").select("doc_id", *[titles.is_article(t, g).cast("int").alias(g) for g in ("en", "de")])
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'WTF' ELSE coalesce(source, 'x') || '$0020$00E9-$6F22_$D83D$DE00$002E' END AS key FROM documents")
+def graph_key_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of names with characters that are encoded, and of names of one."""
+    s = F.when(F.col("doc_id") % 5 == 0, "é").otherwise(F.concat(F.coalesce("source", F.lit("x")), F.lit(" é-漢_😀.")))
+    return V.table(spark, sf_dir, "documents").select("doc_id", links.graph_key(s).alias("key"))
+
+
 @query("SELECT doc_id, CAST(len(list_filter(string_split_regex(text, '\\n\\s*'), lambda x: x <> '')) AS INTEGER) AS n_paragraphs FROM documents")
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "documents").select("doc_id", F.size(strings.paragraphs(F.col("text"))).alias("n_paragraphs"))

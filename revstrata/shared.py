@@ -10,9 +10,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; where that is unset, as in tests, a folder of our own is set."""
+    """A new path in the folder that spark.checkpoint.dir names; where that is unset in local mode, as in tests, a folder of our own is set."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
         at = spark.sparkContext.getCheckpointDir()
     return os.path.join(at, f"{name}-{uuid.uuid4().hex}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -65,35 +66,50 @@ def file_names(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path")
 
 
-def archive_headers(raw: bytes) -> Iterator[tuple[str | None, dict[str, str]]]:
-    """(document id, headers) of each record of a web archive; a record's block is passed over by its length."""
-    at = 0
-    while (at := raw.find(b"WARC/", at)) >= 0:
-        ends = [(e, n) for e, n in ((raw.find(b"\r\n\r\n", at), 4), (raw.find(b"\n\n", at), 2)) if e >= 0]
-        if not ends:
-            return
-        end, n = min(ends)
+def archive_headers(source: BinaryIO) -> Iterator[tuple[str | None, dict[str, str]]]:
+    """(document id, headers) of each record of a web archive, a stream; a record's block is passed over by its length."""
+    while line := source.readline(1 << 20):
+        if not line.startswith(b"WARC/"):
+            continue
         found = {}
-        for line in raw[at:end].decode("utf-8", "replace").splitlines()[1:]:
-            key, colon, value = line.partition(":")
+        while (line := source.readline(1 << 20)).strip():
+            key, colon, value = line.decode("utf-8", "replace").partition(":")
             if colon:
                 found[key.strip()] = value.strip()
         length = found.get("Content-Length", "")
         yield found.get("WARC-TREC-ID"), found
-        at = end + n + (int(length) if length.isdigit() else 0)
+        left = int(length) if length.isdigit() else 0
+        while left and (passed := len(source.read(min(left, 1 << 20)))):
+            left -= passed
 
 
 def read_archive_headers(spark: SparkSession, path: str, glob: str = "*.warc*") -> DataFrame:
-    """schemas.WARC of the records that have a document id; files are plain or gzip, each one task's work."""
+    """schemas.WARC of the records that have a document id; files are plain or gzip, each one task's work, read as a stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gzip
+        import io
 
-        for batch in batches:
-            for content in batch.column(0):
-                raw = content.as_py()
-                rows = [x for x in archive_headers(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw) if x[0] is not None]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([list(r[1].items()) for r in rows], pa.map_(pa.string(), pa.string()))], ["doc_id", "headers"])
+        import pyarrow.fs
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return files.select("content").mapInArrow(run, schemas.WARC)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                uri = "file:///" + name[5:].lstrip("/") if name.startswith("file:") else name
+                fs, at = pyarrow.fs.FileSystem.from_uri(uri)
+                with fs.open_input_stream(at, compression=None) as raw:
+                    plain = io.BufferedReader(raw, 1 << 20)
+                    source = gzip.GzipFile(fileobj=plain) if plain.peek(2)[:2] == b"\x1f\x8b" else plain
+                    rows = []
+                    for x in archive_headers(source):
+                        if x[0] is not None:
+                            rows.append((x[0], list(x[1].items())))
+                        if len(rows) == 10_000:
+                            yield packed(rows)
+                            rows = []
+                    yield packed(rows)
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.map_(pa.string(), pa.string()))], ["doc_id", "headers"])
+
+    files = file_names(spark, path, glob)
+    return files.repartition(max(1, min(files.count(), 1 << 15))).mapInArrow(run, schemas.WARC)

@@ -44,8 +44,23 @@ def read_json(spark: SparkSession, path: str | list[str], only_articles: bool =
     return filters.article_only(rows) if only_articles else rows
 
 
+def read_xml_headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(page_id, rev_id, parent_id, ts_ms, page_title, page_namespace, minor): the parser passes over texts, so there is no length."""
+    schema = schemas.PAGE_XML.replace("text:struct<_VALUE:string>, ", "")
+    pages = spark.read.format("xml").option("rowTag", "page").schema(schema).load(path)
+    rows = pages.select(F.col("id").alias("page_id"), F.col("title").alias("page_title"), F.col("ns").alias("page_namespace"), F.explode("revision").alias("r"))
+    return rows.select("page_id", F.col("r.id").alias("rev_id"), F.coalesce("r.parentid", F.lit(0)).alias("parent_id"), F.unix_millis(parse_iso(F.col("r.timestamp"))).alias("ts_ms"), "page_title", "page_namespace", F.col("r.minor").isNotNull().alias("minor"))
+
+
+def read_json_headers(spark: SparkSession, path: str | list[str], only_articles: bool = True) -> DataFrame:
+    """JSON lines without texts, which the parser passes over; lines that lack another field are dropped."""
+    schema = schemas.REVISION_JSON.replace(", text string", "")
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).dropna().withColumnRenamed("timestamp", "ts_ms")
+    return filters.article_only(rows) if only_articles else rows
+
+
 def headers(revs: DataFrame) -> DataFrame:
-    """Without texts: the scan leaves them out."""
+    """Without texts; length, where it is taken from them, makes the scan read them: see read_xml_headers."""
     return revs.select("page_id", "rev_id", "parent_id", "ts_ms", "page_title", "page_namespace", "length", *[c for c in ("minor",) if c in revs.columns])
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from revstrata.operators.sequence import Header, Sampler, length_change
+
 
 def tumbling(events: DataFrame, keys: list[str], width: str, late: str = "1 hour", slide: str | None = None) -> DataFrame:
     """(window_start, window_end, keys, n, total): counts and sums of value by window; with `slide`, windows overlap."""
@@ -38,25 +40,22 @@ def adaptive_stream(revs: DataFrame, low: float = 0.01, high: float = 0.1, least
             yield pd.DataFrame({"page_id": [key[0]], "rev_id": [base[0]]})
             return
         rows = pd.concat(list(batches)).sort_values(["ts", "rev_id"])
-        base, out = state.getOption, []
-        for rev, length in zip(rows.rev_id.tolist(), rows.length.tolist()):
-            if length < least:
-                continue
-            if base is not None:
-                score = abs(length - base[1]) / base[1]
-                if score > high:
-                    out.append(base[0])
-                elif score >= low:
-                    continue
-            base = (rev, length)
-        if base is not None:
-            state.update(base)
+        sampler, out = Sampler(length_change, low, high, least), []
+        if state.exists:
+            sampler.base = Header(0, *state.get, False)
+        for rev, length, minor in zip(rows.rev_id.tolist(), rows.length.tolist(), rows.minor.tolist()):
+            got = sampler.take(Header(0, rev, length, minor))
+            if got:
+                out.append(got[0].rev_id)
+        if sampler.base is not None:
+            state.update((sampler.base.rev_id, sampler.base.length))
             end = max(int(rows.ts.max().timestamp() * 1000), state.getCurrentWatermarkMs() + 1)
             state.setTimeoutTimestamp(end + hold)
         if out:
             yield pd.DataFrame({"page_id": key[0], "rev_id": out})
 
-    rows = revs.select("page_id", "rev_id", "ts", F.col("length").cast("bigint").alias("length")).withWatermark("ts", late)
+    minor = F.coalesce(F.col("minor"), F.lit(False)) if "minor" in revs.columns else F.lit(False)
+    rows = revs.select("page_id", "rev_id", "ts", F.col("length").cast("bigint").alias("length"), minor.alias("minor")).withWatermark("ts", late)
     return rows.groupBy("page_id").applyInPandasWithState(step, "page_id bigint, rev_id bigint", "rev_id bigint, length bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 

@@ -1,6 +1,7 @@
 """Readers, sequences, diffs and markup on a miniature dump of our own."""
 
 import bz2
+import gzip
 import json
 import random
 
@@ -63,13 +64,13 @@ def test_diffs(spark, dump):
         assert diff.patch(a, diff.deltas(a, b)) == b
 
 
-def by_hand(lengths: list[int]) -> list[int]:
+def by_hand(lengths: list[int], minor: set[int]) -> list[int]:
     base, out = None, []
     for i, n in enumerate(lengths):
         if n < 10:
             continue
         if base is not None:
-            score = abs(n - lengths[base]) / lengths[base]
+            score = 0.0005 if i in minor else abs(n - lengths[base]) / lengths[base]
             if 0.01 <= score <= 0.1:
                 continue
             if score > 0.1:
@@ -81,11 +82,44 @@ def by_hand(lengths: list[int]) -> list[int]:
 def test_adaptive_sample(spark):
     rng = random.Random(2)
     pages = {p: [rng.choice([3, 100, 101, 105, 109, 120, 200, 202]) for _ in range(rng.randrange(1, 30))] for p in range(20)}
-    pages[99] = [100, 100, 105, 200, 201]
-    df = spark.createDataFrame([(p, i, 1000 * i, n) for p, x in pages.items() for i, n in enumerate(x)], "page_id long, rev_id long, ts_ms long, length long")
+    pages[99], pages[100] = [100, 100, 105, 200, 201], [100, 200, 400]
+    minor = {p: {i for i in range(len(x)) if rng.random() < 0.2} for p, x in pages.items()} | {100: {1}}
+    df = spark.createDataFrame([(p, i, 1000 * i, n, i in minor[p] or None) for p, x in pages.items() for i, n in enumerate(x)], "page_id long, rev_id long, ts_ms long, length long, minor boolean")
     got = sequence.adaptive_sample(df).collect()
     for p, x in pages.items():
-        assert sorted(g.rev_id for g in got if g.page_id == p) == by_hand(x)
+        assert sorted(g.rev_id for g in got if g.page_id == p) == by_hand(x, minor[p])
+    assert by_hand(pages[100], {1}) == [1, 2]
+    steps = {r.rev_id: (r.last_rev_id, r.last_ts) for r in sequence.adaptive_steps(df.where("page_id = 99")).collect()}
+    assert steps == {1: (-1, 0), 4: (1, 1000)}
+    every = sequence.adaptive_steps(df.where("page_id = 99"), score=lambda now, base, last: 1.0).collect()
+    assert sorted(r.rev_id for r in every) == [0, 1, 2, 3, 4]
+    assert sequence.adaptive_sample(df.where("false")).count() == 0
+
+
+def test_change_score(spark):
+    df = spark.createDataFrame([(5, 0, True), (5, None, True), (5, 10, True), (5, 10, False)], "n int, before int, minor boolean")
+    assert [r.s for r in df.select(strings.change_score(F.col("n"), F.col("before"), F.col("minor")).alias("s")).collect()] == [1.0, 1.0, 0.0005, 0.5]
+
+
+def test_headers_without_texts(spark, dump, tmp_path):
+    h = {r.rev_id: r for r in revisions.read_xml_headers(spark, dump).collect()}
+    full = {r.rev_id: r for r in revisions.read_xml(spark, dump).collect()}
+    assert set(h) == set(full) and all(h[i][c] == full[i][c] for i in h for c in ("page_id", "parent_id", "ts_ms", "minor", "page_title"))
+    (tmp_path / "r.json").write_text('{"page_id": 1, "page_title": "t", "page_namespace": 0, "rev_id": 2, "parent_id": 0, "timestamp": 5, "user": "u", "user_id": 1, "comment": "", "text": "x"}\n')
+    assert [(r.rev_id, r.ts_ms) for r in revisions.read_json_headers(spark, str(tmp_path)).collect()] == [(2, 5)]
+
+
+def test_markup_is_linear():
+    import time
+
+    took = []
+    for n in (4000, 32_000):
+        begin = time.perf_counter()
+        markup.clean("<ref>x " * n), markup.plain("<ref>x " * n), markup.annotations("<ref>x " * n)
+        took.append(time.perf_counter() - begin)
+    assert took[1] < 24 * took[0] + 0.5
+    assert markup.drop_elements("a<ref>b</ref>c<REF n=1>d</ref >e<ref>f", ["ref"]) == "ace<ref>f"
+    assert markup.drop_elements("</ref>a<b><ref>x<b>y</ref></b>", ["ref", "b"]) == "</ref>a"
 
 
 def test_as_of(spark):
@@ -108,8 +142,9 @@ def test_logs_and_archives(spark, tmp_path):
     assert [(x.user_id, x.epoch_ms, x.method, x.resource, x.size) for x in got] == [("bob", 971211336000, "GET", "/a", 2326), (None, None, None, None, None)]
     raw = b"WARC/0.18\nWARC-Type: response\nWARC-TREC-ID: d-1\nContent-Length: 9\n\nWARC/0 xx\n\nWARC/0.18\nWARC-Type: info\nContent-Length: 0\n\n"
     (tmp_path / "a.warc").write_bytes(raw)
-    assert [(x.doc_id, x.headers["WARC-Type"]) for x in records.read_archive_headers(spark, str(tmp_path)).collect()] == [("d-1", "response")]
-    assert records.file_names(spark, str(tmp_path)).count() == 1
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(raw) + gzip.compress(raw.replace(b"d-1", b"d-2")))
+    assert sorted((x.doc_id, x.headers["WARC-Type"]) for x in records.read_archive_headers(spark, str(tmp_path)).collect()) == [("d-1", "response"), ("d-1", "response"), ("d-2", "response")]
+    assert records.file_names(spark, str(tmp_path)).count() == 2
 
 
 def test_tsv_text_and_documents(spark, tmp_path):
@@ -136,7 +171,7 @@ def test_links(spark):
 
 
 def test_titles(spark):
-    cases = {"_a b#c": "A_b", "'''q'''": "Q", "\"q\"": "Q", "wiki/x": "X", "#x_": "X", "a&b": "A", "Éa": "Éa", "": ""}
+    cases = {"a  b": "A_b", "''''''": "", "'''": "", "\"": "", "'''a''": "'a", " x\t\ny ": "X_y", "_a b#c": "A_b", "'''q'''": "Q", "\"q\"": "Q", "wiki/x": "X", "#x_": "X", "a&b": "A", "Éa": "Éa", "": ""}
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     assert {x.t: x.n for x in df.select("t", titles.normalised(F.col("t")).alias("n")).collect()} == cases
     df = spark.createDataFrame([("Talk:x",), ("x.jpg",), ("a/Talk:b",), ("Plain",), ("http://a",)], "t string")
