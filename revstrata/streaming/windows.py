@@ -25,13 +25,14 @@ def sessions(events: DataFrame, keys: list[str], gap: str, late: str = "1 hour")
     return rows.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *keys, "n")
 
 
-def adaptive_stream(revs: DataFrame, low: float = 0.01, high: float = 0.1, least: int = 10, timeout: str = "30 days", late: str = "1 day") -> DataFrame:
+def adaptive_stream(revs: DataFrame, low: float = 0.01, high: float = 0.1, least: int = 10, timeout: str | None = "30 days", late: str = "1 day") -> DataFrame:
     """(page_id, rev_id) as operators.sequence.adaptive_sample emits them, of a stream of (page_id, rev_id, ts, length).
 
     State is a page's base, two numbers. Rows of a batch are taken in order of time; a base is emitted when a revision differs
     by more than `high`, and the last one when its page has been silent for `timeout` of event time, which ends its state.
+    Without a timeout a last base is never emitted and its state stays. Rows without a page are passed over.
     """
-    hold = int(pd.Timedelta(timeout).total_seconds() * 1000)
+    hold = None if timeout is None else int(pd.Timedelta(timeout).total_seconds() * 1000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -49,14 +50,15 @@ def adaptive_stream(revs: DataFrame, low: float = 0.01, high: float = 0.1, least
                 out.append(got[0].rev_id)
         if sampler.base is not None:
             state.update((sampler.base.rev_id, sampler.base.length))
-            end = max(int(rows.ts.max().timestamp() * 1000), state.getCurrentWatermarkMs() + 1)
-            state.setTimeoutTimestamp(end + hold)
+            if hold is not None:
+                end = max(int(rows.ts.max().timestamp() * 1000), state.getCurrentWatermarkMs() + 1)
+                state.setTimeoutTimestamp(end + hold)
         if out:
             yield pd.DataFrame({"page_id": key[0], "rev_id": out})
 
     minor = F.coalesce(F.col("minor"), F.lit(False)) if "minor" in revs.columns else F.lit(False)
-    rows = revs.select("page_id", "rev_id", "ts", F.col("length").cast("bigint").alias("length"), minor.alias("minor")).withWatermark("ts", late)
-    return rows.groupBy("page_id").applyInPandasWithState(step, "page_id bigint, rev_id bigint", "rev_id bigint, length bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = revs.where("page_id is not null").select("page_id", "rev_id", "ts", F.col("length").cast("bigint").alias("length"), minor.alias("minor")).withWatermark("ts", late)
+    return rows.groupBy("page_id").applyInPandasWithState(step, "page_id bigint, rev_id bigint", "rev_id bigint, length bigint", "append", GroupStateTimeout.NoTimeout if hold is None else GroupStateTimeout.EventTimeTimeout)
 
 
 def drained(stream: DataFrame, path: str, checkpoint: str) -> None:
