@@ -16,6 +16,7 @@ from revstrata.functions.dates import bucket
 from revstrata.functions.diff import diff, patched
 from revstrata.functions.links import links
 from revstrata.functions.strings import paragraphs, tokens
+from revstrata.operators import words
 from revstrata.operators.graph import anchors
 
 MONTH_MS = 30 * 86_400_000
@@ -182,15 +183,10 @@ def restored(revs: DataFrame) -> DataFrame:
 def added_words(revs: DataFrame) -> DataFrame:
     """(page_id, rev_id, ts_ms, last_ts, word, n): words that a revision has more often than the one before it, and by how many.
 
-    One shuffle, by page: counting by (revision, word) and comparing by (page, word) keep that partitioning.
+    One shuffle, of texts by page, whose words are counted and compared as a stream of revisions in order.
     """
-    w = by_page()
-    order = revs.select("page_id", "rev_id", "ts_ms", F.lag("rev_id").over(w).alias("prev"), F.coalesce(F.lag("ts_ms").over(w), F.lit(-1)).alias("last_ts"), "text")
-    order = order.select("page_id", "rev_id", "ts_ms", "prev", "last_ts", F.explode(tokens(F.col("text"))).alias("word"))
-    counts = order.groupBy("page_id", "rev_id", "ts_ms", "prev", "last_ts", "word").agg(F.count("*").alias("n"))
-    by_word = Window.partitionBy("page_id", "word").orderBy("ts_ms", "rev_id")
-    before = F.when(F.lag("rev_id").over(by_word) == F.col("prev"), F.lag("n").over(by_word)).otherwise(0)
-    return counts.withColumn("before", before).where("n > before").select("page_id", "rev_id", "ts_ms", "last_ts", "word", (F.col("n") - F.col("before")).alias("n"))
+    rows = words.counted(revs, words.additions, ["page_id", "rev_id", "ts_ms", "last_ts"])
+    return rows.select("page_id", "rev_id", "ts_ms", "last_ts", "word", "n")
 
 
 def temporal_index(revs: DataFrame) -> DataFrame:
@@ -202,8 +198,8 @@ def concatenated(revs: DataFrame, unit: str = "week") -> DataFrame:
     """(page_id, rev_id, text, patches): the first revision of each bucket and the words that later ones of the bucket add, in order."""
     marked = revs.withColumn("bucket", bucket(F.timestamp_millis("ts_ms"), unit))
     in_bucket = Window.partitionBy("page_id", "bucket").orderBy("ts_ms", "rev_id")
-    words = tokens(F.col("text"), "plain")
-    rows = marked.select("page_id", "bucket", "rev_id", "ts_ms", "text", words.alias("w")).withColumn("prev", F.lag("w").over(in_bucket))
+    plain = tokens(F.col("text"), "plain")
+    rows = marked.select("page_id", "bucket", "rev_id", "ts_ms", "text", plain.alias("w")).withColumn("prev", F.lag("w").over(in_bucket))
     patch = F.flatten(F.transform(diff("prev", "w"), lambda d: d["rev"]))
     rows = rows.select("page_id", "bucket", "rev_id", "ts_ms", F.when(F.col("prev").isNull(), F.col("text")).alias("text"), F.when(F.col("prev").isNull(), F.array().cast("array<string>")).otherwise(patch).alias("patch"))
     both = rows.groupBy("page_id", "bucket").agg(F.min(F.struct("ts_ms", "rev_id", "text")).alias("base"), F.array_sort(F.collect_list(F.struct("ts_ms", "rev_id", "patch"))).alias("all"))
