@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
-import pandas as pd
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
+from revstrata.functions.arrow import by_row
 from revstrata.schemas import DELTAS
 
 _OPS = {"delete": "DELETE", "insert": "INSERT", "replace": "CHANGE"}
@@ -38,20 +37,19 @@ def patch(old: list[str], changes: list[dict]) -> list[str]:
     return out + old[at:]
 
 
-def _diff(old: pd.Series, new: pd.Series) -> pd.Series:
-    seq = lambda x: [] if x is None else list(x)
-    return pd.Series([deltas(seq(a), seq(b)) for a, b in zip(old, new)])
+def _diff(old: list[str] | None, new: list[str] | None) -> list[dict]:
+    return deltas(old or [], new or [])
 
 
 def diff(old: Column | str, new: Column | str) -> Column:
     """Deltas between two arrays of strings; null counts as empty."""
-    return F.pandas_udf(_diff, DELTAS)(old, new)
+    return by_row(_diff, DELTAS)(old, new)
 
 
-def _patch(old: pd.Series, changes: pd.Series) -> pd.Series:
-    return pd.Series([patch([] if a is None else list(a), [] if d is None else [dict(x) for x in d]) for a, d in zip(old, changes)])
+def _patch(old: list[str] | None, changes: list[dict] | None) -> list[str]:
+    return patch(old or [], changes or [])
 
 
 def patched(old: Column | str, changes: Column | str) -> Column:
     """The array that the deltas make of the old one; null counts as empty."""
-    return F.pandas_udf(_patch, "array<string>")(old, changes)
+    return by_row(_patch, "array<string>")(old, changes)
