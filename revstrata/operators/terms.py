@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revstrata.functions.strings import tokens
+from revstrata.operators.words import counted, per_revision
 
 
 def occurrences(docs: DataFrame, key: str, words: Column, longest: int = 64) -> DataFrame:
@@ -50,9 +51,9 @@ def document_vectors(docs: DataFrame, terms: DataFrame, key: str = "doc_id", wor
 
 
 def postings(revs: DataFrame) -> DataFrame:
-    """(term, page_id, rev_id, ts_ms, tf), in lower case."""
-    rows = revs.select("page_id", "rev_id", "ts_ms", F.explode(tokens(F.col("text"))).alias("term"))
-    return rows.groupBy("term", "page_id", "rev_id", "ts_ms").agg(F.count("*").alias("tf"))
+    """(term, page_id, rev_id, ts_ms, tf), in lower case. Texts are shuffled, by page, and not a row for each of their terms."""
+    rows = counted(revs, per_revision, ["page_id", "rev_id", "ts_ms"])
+    return rows.select(F.col("word").alias("term"), "page_id", "rev_id", "ts_ms", F.col("n").alias("tf"))
 
 
 def token_lengths(revs: DataFrame) -> DataFrame:
