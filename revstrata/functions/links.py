@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from revstrata.functions.arrow import by_row
+
 
 def links(text: Column) -> Column:
     """array<struct<anchor, target>> of [[target#part|anchor]]: none with a colon, none whose target is empty.
@@ -31,27 +32,24 @@ def one_line_links(text: Column) -> Column:
 
 def link_contexts(text: Column | str) -> Column:
     """Links with the offset of their content and up to 20 characters on either side, line ends and tabs as spaces."""
-    return F.pandas_udf(_contexts, "array<struct<anchor:string, target:string, offset:int, pre:string, post:string>>")(text)
-
-
-def _contexts(texts: pd.Series) -> pd.Series:
-    import re
-
-    pattern, blank = re.compile(r"(?s)\[\[(.*?)\]\]"), str.maketrans("\n\t", "  ")
-
-    def one(text: str) -> Iterator[dict]:
-        for m in pattern.finditer(text):
-            link = m[1]
-            target = re.split(r"[|#]", link, maxsplit=1)[0]
-            if not target or ":" in link:
-                continue
-            bar = link.find("|")
-            yield {
-                "anchor": link[bar + 1 :] if bar >= 0 else target, "target": target, "offset": m.start(1),
-                "pre": text[max(0, m.start() - 20) : m.start()].translate(blank), "post": text[m.end() : m.end() + 20].translate(blank),
-            }
-
-    return texts.map(lambda t: None if t is None else list(one(t)))
+    return by_row(_contexts, "array<struct<anchor:string, target:string, offset:int, pre:string, post:string>>")(text)
+
+
+def _contexts(text: str | None) -> list[dict] | None:
+    if text is None:
+        return None
+    blank, out = str.maketrans("\n\t", "  "), []
+    for m in re.finditer(r"(?s)\[\[(.*?)\]\]", text):
+        link = m[1]
+        target = re.split(r"[|#]", link, maxsplit=1)[0]
+        if not target or ":" in link:
+            continue
+        bar = link.find("|")
+        out.append({
+            "anchor": link[bar + 1 :] if bar >= 0 else target, "target": target, "offset": m.start(1),
+            "pre": text[max(0, m.start() - 20) : m.start()].translate(blank), "post": text[m.end() : m.end() + 20].translate(blank),
+        })
+    return out
 
 
 def references(text: Column) -> Column:
