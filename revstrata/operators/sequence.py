@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revstrata.functions.dates import bucket
-from revstrata.functions.diff import diff, patched
+from revstrata.functions.diff import diff, rebuilt
 from revstrata.functions.links import links
 from revstrata.functions.strings import paragraphs, tokens
 from revstrata.operators import words
@@ -177,7 +177,7 @@ def revision_diffs(revs: DataFrame, split: Column | None = None) -> DataFrame:
 def restored(revs: DataFrame) -> DataFrame:
     """(page_id, rev_id, parts): paragraphs of each revision, from those of the one before it and revision_diffs' deltas."""
     parts = revs.select("page_id", "rev_id", "ts_ms", paragraphs(F.col("text")).alias("parts")).withColumn("before", F.lag("parts").over(by_page()))
-    return parts.select("page_id", "rev_id", patched("before", diff("before", "parts")).alias("parts"))
+    return parts.select("page_id", "rev_id", rebuilt("before", "parts").alias("parts"))
 
 
 def added_words(revs: DataFrame) -> DataFrame:
